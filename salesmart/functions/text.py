@@ -12,7 +12,8 @@ MISSING_NUMBER = "nan"
 
 
 def _number(value: Column, pattern: str) -> Column:
-    return F.coalesce(F.format_number(value, pattern), F.lit(MISSING_NUMBER))
+    return F.coalesce(
+        F.call_function("format_number", value, F.lit(pattern)), F.lit(MISSING_NUMBER))
 
 
 def money_text(value: Column) -> Column:

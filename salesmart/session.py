@@ -15,6 +15,7 @@ def build_session(app: str, master: str | None = None, **settings: str) -> Spark
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     }
     for key, value in (defaults | settings).items():
         builder = builder.config(key, value)
