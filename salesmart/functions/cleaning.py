@@ -53,10 +53,25 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """
     named = add_missing_columns(clean_null_tokens(normalize_columns(df)), schema)
     return named.select(*[
-        (F.col(f.name) if named.schema[f.name].dataType == f.dataType
-         else F.col(f.name).try_cast(f.dataType)).alias(f.name)
-        for f in schema.fields
-    ])
+        lenient_cast(named, f.name, f.dataType).alias(f.name) for f in schema.fields])
+
+
+def lenient_cast(df: DataFrame, column: str, target: T.DataType) -> Column:
+    """Cast that gives NULL for unreadable text; ``10.0`` is readable as a whole number."""
+    source, value = df.schema[column].dataType, F.col(column)
+    if source == target:
+        return value
+    if isinstance(source, T.StringType) and isinstance(target, T.IntegralType):
+        return value.try_cast("decimal(38,6)").try_cast(target)
+    return value.try_cast(target)
+
+
+def lenient_flag(df: DataFrame, column: str) -> Column:
+    """Boolean of a number, a number text or a true/false text."""
+    if isinstance(df.schema[column].dataType, T.StringType):
+        return F.coalesce(
+            F.col(column).try_cast("boolean"), F.col(column).try_cast("double") != 0)
+    return F.col(column).cast("boolean")
 
 
 def lenient_date(df: DataFrame, column: str) -> Column:

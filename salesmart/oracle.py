@@ -350,6 +350,15 @@ UNION ALL SELECT 'dim_employee', count(*) FROM dim_employee
 UNION ALL SELECT 'dim_product', count(*) FROM dim_product
 UNION ALL SELECT 'dim_date', count(*) FROM dim_date
 UNION ALL SELECT 'fact_sales', count(*) FROM fact_sales"""),
+    "extract_row_counts": """
+SELECT 'orders' AS table_name, count(*) AS row_count FROM orders
+UNION ALL SELECT 'order_details', count(*) FROM lineitem
+UNION ALL SELECT 'products', count(*) FROM part
+UNION ALL SELECT 'categories', count(DISTINCT p_type) FROM part
+UNION ALL SELECT 'customers', count(*) FROM customer
+UNION ALL SELECT 'employees', count(DISTINCT o_orderpriority) FROM orders
+UNION ALL SELECT 'shippers', count(*) FROM supplier
+UNION ALL SELECT 'suppliers', count(*) FROM supplier""",
     "distinct_years": _with("SELECT DISTINCT year FROM dim_date"),
     "distinct_categories": "SELECT DISTINCT p_type AS category_name FROM part",
     "financial_trend": _with(_trend()),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from salesmart.functions.calendar import calendar_columns
 from salesmart.functions.cleaning import (
-    add_missing_columns, full_name, lenient_date, lenient_number, with_defaults)
+    add_missing_columns, full_name, lenient_date, lenient_flag, lenient_number, with_defaults)
 from salesmart.operators.hierarchy import parent_name
 from salesmart.operators.keys import number_rows
 from salesmart.sources.schemas import RAW_SCHEMAS
@@ -25,9 +25,13 @@ def _project(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
 
 
 def _keyed(df: DataFrame, id_col: str, key: str) -> DataFrame:
-    """Put a dense surrogate key, in source-id order, in front."""
-    numbered = number_rows(df, [id_col], key)
-    return numbered.select(key, *df.columns)
+    """Put a dense surrogate key, in source-id order, in front.
+
+    The other columns order rows that repeat an id, so the same input always gets
+    the same keys.
+    """
+    order = [id_col, *[c for c in df.columns if c != id_col]]
+    return number_rows(df, order, key).select(key, *df.columns)
 
 
 def build_dim_shipper(shippers: DataFrame) -> DataFrame:
@@ -96,7 +100,7 @@ def join_product_sources(
         "units_in_stock": "unitsinstock", "units_on_order": "unitsonorder",
         "reorder_level": "reorderlevel", "discontinued": "discontinued"})
     return with_defaults(
-        rows.withColumn("discontinued", F.col("discontinued").cast("boolean")),
+        rows.withColumn("discontinued", lenient_flag(rows, "discontinued")),
         {"category_name": UNKNOWN, "supplier_name": UNKNOWN,
          "supplier_contact_name": UNKNOWN, "supplier_country": UNKNOWN,
          "supplier_phone": UNKNOWN, "units_in_stock": 0, "discontinued": False})

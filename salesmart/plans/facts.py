@@ -20,6 +20,9 @@ KEY_LOOKUPS = (
     ("shipvia", "dim_shipper", "shipper_id", "shipper_key"),
 )
 
+# Line total before and after the copy to the revenue column.
+AMOUNTS = ("total_sales", "revenue")
+
 
 def _with_keys(df: DataFrame, dims: Mapping[str, DataFrame]) -> DataFrame:
     """Resolve every lookup whose source id this table carries."""
@@ -37,7 +40,7 @@ def order_lines(orders: DataFrame, order_details: DataFrame) -> DataFrame:
 def resolve_keys(
     orders: DataFrame, order_details: DataFrame, dims: Mapping[str, DataFrame]
 ) -> DataFrame:
-    """Order lines with amounts and all five keys; a key is NULL where nothing matched.
+    """Order lines in cents with all five keys; a key is NULL where nothing matched.
 
     Header ids are looked up on the headers, before the lines multiply the rows.
     The date dimension holds every readable order date under its own ``yyyymmdd``
@@ -51,18 +54,29 @@ def resolve_keys(
         .withColumnsRenamed({"orderid": "order_id", "unitprice": "unit_price"})
         .withColumn("revenue_cents", line_cents(
             F.col("quantity"), F.col("unit_price"), F.col("discount")))
-        .withColumn("total_sales", cents_to_decimal(F.col("revenue_cents")))
-        .withColumn("revenue", F.col("total_sales"))
-        .select(*FACT_COLUMNS, "revenue_cents")
+        .select(*[c for c in FACT_COLUMNS if c not in AMOUNTS], "revenue_cents")
     )
 
 
-def with_partition_year(fact: DataFrame) -> DataFrame:
-    return fact.withColumn("order_year", F.floor(F.col("date_key") / 10000).cast("int"))
+def with_amounts(fact: DataFrame) -> DataFrame:
+    """Add the decimal amounts; done last, so that shuffles carry only the cents."""
+    amount = cents_to_decimal(F.col("revenue_cents"))
+    rest = [c for c in fact.columns if c not in FACT_COLUMNS]
+    return fact.withColumns({c: amount for c in AMOUNTS}).select(*FACT_COLUMNS, *rest)
+
+
+def balanced_by_year(fact: DataFrame) -> DataFrame:
+    """Lay rows out by order year for the write.
+
+    The rebalance hint lets Spark split a year that is too large for one task and
+    join small pieces, so a hot year makes neither one long task nor many small files.
+    """
+    year = F.floor(F.col("date_key") / 10000).cast("int")
+    return fact.withColumn("order_year", year).hint("rebalance", F.col("order_year"))
 
 
 def build_fact_sales(
     orders: DataFrame, order_details: DataFrame, dims: Mapping[str, DataFrame]
 ) -> DataFrame:
     """Lines whose five keys all resolve."""
-    return drop_orphans(resolve_keys(orders, order_details, dims), FOREIGN_KEYS)
+    return with_amounts(drop_orphans(resolve_keys(orders, order_details, dims), FOREIGN_KEYS))

@@ -42,13 +42,14 @@ def default_year(star: Star) -> int | None:
 
 
 def financial_trend(star: Star, year: int, categories: Sequence[str] | None = None) -> DataFrame:
-    """Revenue and orders per month."""
-    lines = with_dates(sales(star, [year], categories), star, "year", "month", "month_name")
+    """Revenue and orders per month. An order has one date, so daily order counts add up."""
+    daily = revenue_by(
+        sales(star, [year], categories), ["date_key"],
+        F.countDistinct("order_id").alias("orders"))
     return (
-        revenue_by(lines, ["year", "month", "month_name"],
-                   F.countDistinct("order_id").alias("total_orders"))
-        .select("year", "month", "month_name",
-                cents_to_double(F.col("cents")).alias("total_revenue"), "total_orders")
+        with_dates(daily, star, "year", "month", "month_name")
+        .groupBy("year", "month", "month_name")
+        .agg(_revenue().alias("total_revenue"), F.sum("orders").alias("total_orders"))
         .orderBy("year", "month")
     )
 

@@ -37,8 +37,12 @@ def sales(
 
 
 def with_dates(lines: DataFrame, star: Star, *columns: str) -> DataFrame:
-    """Add date attributes. One row per calendar day, so the date side stays small."""
-    return lines.join(star.dim_date.select("date_key", *columns), "date_key")
+    """Add date attributes.
+
+    The date dimension has at most one row per calendar day (3.7 million for all
+    four-digit years, however many sales there are), which bounds the broadcast.
+    """
+    return lines.join(F.broadcast(star.dim_date.select("date_key", *columns)), "date_key")
 
 
 def revenue_by(lines: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:

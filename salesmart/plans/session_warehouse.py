@@ -6,6 +6,7 @@ folder and opened again for every later mart of the same application.
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import SparkSession
@@ -16,11 +17,13 @@ from salesmart.sources.staging import shared_folder
 from salesmart.sources.testdata import raw_tables
 
 _open: dict[tuple[str, str], Star] = {}
+_building = threading.Lock()
 
 
 def session_warehouse(spark: SparkSession, sf_dir: str) -> Star:
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key not in _open:
-        root = f"{shared_folder(spark)}/warehouse-{uuid.uuid4().hex}"
-        _open[key] = build_warehouse(spark, raw_tables(spark, sf_dir), root)
-    return _open[key]
+    with _building:
+        if key not in _open:
+            root = f"{shared_folder(spark)}/warehouse-{uuid.uuid4().hex}"
+            _open[key] = build_warehouse(spark, raw_tables(spark, sf_dir), root)
+        return _open[key]

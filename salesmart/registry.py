@@ -14,7 +14,7 @@ from salesmart.operators.hierarchy import parent_name
 from salesmart.plans import dimensions, facts, marts, report, retention, rfm, targets
 from salesmart.plans.session_warehouse import session_warehouse
 from salesmart.sources import sinks, testdata
-from salesmart.sources.schemas import FACT_COLUMNS, FOREIGN_KEYS
+from salesmart.sources.schemas import FACT_COLUMNS, FOREIGN_KEYS, schema
 from salesmart.sources.sinks import Star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,7 +61,7 @@ def normalize_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def add_missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    required = T.StructType.fromDDL("companyname string, phone string, fax string")
+    required = schema("companyname string, phone string, fax string")
     return cleaning.add_missing_columns(testdata.shippers(spark, sf_dir), required)
 
 
@@ -152,7 +152,9 @@ def orphan_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orphan_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = keys.drop_orphans(_resolved_in_credit(spark, sf_dir), FOREIGN_KEYS)
+    kept = facts.build_fact_sales(
+        testdata.orders(spark, sf_dir), testdata.order_details(spark, sf_dir),
+        _dims_in_credit(spark, sf_dir))
     return kept.select("order_id", "customer_key", "product_key", "shipper_key", "total_sales")
 
 
@@ -169,6 +171,10 @@ def date_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
         testdata.orders(spark, sf_dir), testdata.order_details(spark, sf_dir)))
 
 
+def extract_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.row_counts(testdata.raw_tables(spark, sf_dir))
+
+
 # Queries over the star schema.
 
 def _star(query: Callable[[Star], DataFrame]) -> Query:
@@ -211,6 +217,7 @@ RAW_QUERIES: dict[str, Query] = {
     "orphan_filter": orphan_filter,
     "order_lines": order_lines,
     "date_spine": date_spine,
+    "extract_row_counts": extract_row_counts,
 }
 
 STAR_QUERIES: dict[str, Query] = {
@@ -221,7 +228,7 @@ STAR_QUERIES: dict[str, Query] = {
         "dim_product": lambda s: s.dim_product,
         "dim_date": lambda s: s.dim_date,
         "fact_sales": lambda s: s.fact_sales.select(*FACT_COLUMNS),
-        "etl_row_counts": sinks.row_counts,
+        "etl_row_counts": lambda s: sinks.row_counts(s.tables()),
         "distinct_years": marts.distinct_years,
         "distinct_categories": marts.distinct_categories,
         "financial_trend": _trend,

@@ -5,33 +5,41 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(),
+    "string": T.StringType(),
+}
+
+
+def schema(columns: str) -> T.StructType:
+    """Schema of ``name type`` pairs; needs no running session, unlike a DDL parse."""
+    fields = (column.split() for column in columns.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
 
 
 RAW_SCHEMAS: dict[str, T.StructType] = {
-    "orders": _schema(
-        "orderid int, customerid string, employeeid int, orderdate string, "
-        "shippeddate string, shipvia int, freight double"),
-    "order_details": _schema(
-        "orderid int, productid int, unitprice double, quantity int, discount double"),
-    "products": _schema(
-        "productid int, productname string, supplierid int, categoryid int, "
+    "orders": schema(
+        "orderid bigint, customerid string, employeeid bigint, orderdate string, "
+        "shippeddate string, shipvia bigint, freight double"),
+    "order_details": schema(
+        "orderid bigint, productid bigint, unitprice double, quantity int, discount double"),
+    "products": schema(
+        "productid bigint, productname string, supplierid bigint, categoryid bigint, "
         "quantityperunit string, unitprice double, unitsinstock int, "
-        "unitsonorder int, reorderlevel int, discontinued int"),
-    "categories": _schema("categoryid int, categoryname string, description string"),
-    "customers": _schema(
+        "unitsonorder int, reorderlevel int, discontinued string"),
+    "categories": schema("categoryid bigint, categoryname string, description string"),
+    "customers": schema(
         "customerid string, companyname string, contactname string, "
         "contacttitle string, address string, city string, region string, "
         "postalcode string, country string, phone string, fax string"),
-    "employees": _schema(
-        "employeeid int, lastname string, firstname string, title string, "
+    "employees": schema(
+        "employeeid bigint, lastname string, firstname string, title string, "
         "titleofcourtesy string, birthdate string, hiredate string, address string, "
         "city string, region string, country string, homephone string, "
-        "reportsto int, salary string"),
-    "shippers": _schema("shipperid int, companyname string, phone string"),
-    "suppliers": _schema(
-        "supplierid int, companyname string, contactname string, "
+        "reportsto bigint, salary string"),
+    "shippers": schema("shipperid bigint, companyname string, phone string"),
+    "suppliers": schema(
+        "supplierid bigint, companyname string, contactname string, "
         "contacttitle string, address string, city string, region string, "
         "postalcode string, country string, phone string, fax string, homepage string"),
 }
