@@ -230,7 +230,7 @@ SELECT c_custkey, c_name,
        CASE WHEN c_mktsegment IN ('BUILDING', 'FURNITURE', 'MACHINERY') THEN NULL
             ELSE c_mktsegment END AS region
 FROM customer""",
-    "normalize_columns": "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier",
+    "normalize_columns": "SELECT * FROM supplier",
     "add_missing_columns": """
 SELECT s_suppkey AS shipperid, s_name AS companyname, CAST(NULL AS VARCHAR) AS phone,
        CAST(NULL AS VARCHAR) AS fax

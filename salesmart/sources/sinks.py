@@ -36,8 +36,12 @@ def _table_path(root: str, name: str) -> str:
 
 
 def write_table(df: DataFrame, root: str, name: str, mode: str = "overwrite") -> None:
-    """Write one warehouse table; the fact is partitioned by order year."""
-    writer = df.write.mode(mode)
+    """Write one warehouse table; the fact is partitioned by order year.
+
+    Overwriting replaces the whole table whatever the session's partition
+    overwrite mode, so years that left the input leave the table.
+    """
+    writer = df.write.mode(mode).option("partitionOverwriteMode", "static")
     if name == FACT:
         writer = writer.partitionBy("order_year")
     writer.parquet(_table_path(root, name))
