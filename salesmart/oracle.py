@@ -277,7 +277,8 @@ WITH people AS (
 SELECT p.id, p.parent_id, p.name, coalesce(q.name, 'N/A') AS parent_name
 FROM people p LEFT JOIN people q ON p.parent_id = q.id""",
     "key_lookup_left": _with("""
-SELECT l_suppkey AS shipvia, l_orderkey AS orderid, l_partkey AS productid, shipper_key
+SELECT l_suppkey AS shipvia, l_orderkey AS orderid, l_partkey AS productid,
+       CAST(shipper_key AS DOUBLE) AS shipper_key
 FROM lineitem LEFT JOIN (SELECT * FROM dim_shipper WHERE s_acctbal >= 0)
   ON l_suppkey = shipper_id"""),
     "orphan_audit": _with("""
@@ -330,7 +331,7 @@ SELECT row_number() OVER (ORDER BY p_partkey) AS product_key, p_partkey AS produ
        coalesce(s_name, 'Unknown') AS supplier_name, 'Unknown' AS supplier_contact_name,
        coalesce(n_name, 'Unknown') AS supplier_country, 'Unknown' AS supplier_phone,
        p_brand AS quantity_per_unit, p_retailprice AS unit_price, 0 AS units_in_stock,
-       CAST(NULL AS INTEGER) AS units_on_order, p_size AS reorder_level,
+       CAST(NULL AS DOUBLE) AS units_on_order, p_size AS reorder_level,
        FALSE AS discontinued
 FROM part LEFT JOIN supplier ON p_size = s_suppkey
 LEFT JOIN nation ON s_nationkey = n_nationkey""",

@@ -36,6 +36,11 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.withColumns(plain) if plain else df
 
 
+def _gaps_as_double(df: DataFrame, column: str) -> DataFrame:
+    """A whole-number column with NULLs as double, the type data frames give it."""
+    return df.withColumn(column, F.col(column).cast("double"))
+
+
 # Row-wise and lookup operators on the raw tables.
 
 def _customers_in_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +149,8 @@ def _resolved_in_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def key_lookup_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = testdata.order_details(spark, sf_dir).select("orderid", "productid", "shipvia")
     dim = _dims_in_credit(spark, sf_dir)["dim_shipper"]
-    return keys.lookup_key(lines, dim, "shipvia", "shipper_id", "shipper_key")
+    return _gaps_as_double(
+        keys.lookup_key(lines, dim, "shipvia", "shipper_id", "shipper_key"), "shipper_key")
 
 
 def orphan_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,7 +231,7 @@ STAR_QUERIES: dict[str, Query] = {
         "dim_shipper": lambda s: s.dim_shipper,
         "dim_customer": lambda s: s.dim_customer,
         "dim_employee": lambda s: s.dim_employee,
-        "dim_product": lambda s: s.dim_product,
+        "dim_product": lambda s: _gaps_as_double(s.dim_product, "units_on_order"),
         "dim_date": lambda s: s.dim_date,
         "fact_sales": lambda s: s.fact_sales.select(*FACT_COLUMNS),
         "etl_row_counts": lambda s: sinks.row_counts(s.tables()),
