@@ -18,24 +18,28 @@ from salesmart.session import build_session
 from salesmart.sources.readers import extract
 from salesmart.sources.schemas import SOURCE_FILES
 from salesmart.sources.sinks import open_warehouse
+from salesmart.sources.staging import stage
 
 
 def build(
-    spark: SparkSession, data: str, warehouse: str, fmt: str = "csv", mode: str = "overwrite"
+    spark: SparkSession, data: str, warehouse: str, fmt: str = "csv", mode: str = "overwrite",
+    multi_line: bool = True,
 ) -> LoadReport:
-    """Read a data folder and write the star schema."""
-    files = SOURCE_FILES if fmt == "csv" else {name: name for name in SOURCE_FILES}
-    return run_etl(spark, extract(spark, data, files, fmt), warehouse, mode)
+    """Read a data folder and write the star schema.
 
-
-def all_categories(spark: SparkSession, warehouse: str) -> list[str]:
-    """The names of the category picker, which starts with all of them selected."""
-    rows = marts.distinct_categories(open_warehouse(spark, warehouse)).collect()
-    return [row.category_name for row in rows]
+    CSV is parsed once and landed as Parquet, since the build reads its inputs
+    more than once and each time only some columns.
+    """
+    if fmt == "csv":
+        text = extract(spark, data, multi_line=multi_line)
+        raw = {name: stage(df, f"raw-{name}") for name, df in text.items()}
+    else:
+        raw = extract(spark, data, {name: name for name in SOURCE_FILES}, fmt)
+    return run_etl(spark, raw, warehouse, mode)
 
 
 def page_tables(
-    spark: SparkSession, warehouse: str, year: int | None, categories: Sequence[str],
+    spark: SparkSession, warehouse: str, year: int | None, categories: Sequence[str] | None,
     monthly_target: float, retention_target: float,
 ) -> dict[str, DataFrame]:
     return dashboard.dashboard_tables(
@@ -43,10 +47,11 @@ def page_tables(
 
 
 def report_tables(
-    spark: SparkSession, warehouse: str, year: int | None, categories: Sequence[str],
+    spark: SparkSession, warehouse: str, year: int | None, categories: Sequence[str] | None,
     monthly_target: float, retention_target: float,
 ) -> dict[str, DataFrame]:
     star = open_warehouse(spark, warehouse)
+    categories = dashboard.selected(star, categories)
     year = marts.default_year(star) if year is None else year
     needed = ("financial_trend", "retention_rate", "product_performance", "customer_clv")
     return report.report_tables(
@@ -62,12 +67,14 @@ def main(arguments: Sequence[str] | None = None) -> None:
     builder.add_argument("warehouse")
     builder.add_argument("--format", choices=["csv", "parquet"], default="csv")
     builder.add_argument("--mode", choices=["overwrite", "append"], default="overwrite")
+    builder.add_argument("--single-line", action="store_true",
+                         help="no line breaks inside CSV fields: large files are split")
     for action in ("dashboard", "report"):
         writer = actions.add_parser(action)
         writer.add_argument("warehouse")
         writer.add_argument("out")
         writer.add_argument("--year", type=int)
-        writer.add_argument("--category", action="append", default=[])
+        writer.add_argument("--category", action="append", help="repeatable; default all")
         writer.add_argument("--monthly-target", type=float,
                             default=targets.DEFAULT_MONTHLY_REVENUE)
         writer.add_argument("--retention-target", type=int, default=targets.DEFAULT_RETENTION)
@@ -76,12 +83,12 @@ def main(arguments: Sequence[str] | None = None) -> None:
 
     spark = build_session("salesmart")
     if args.action == "build":
-        print(build(spark, args.data, args.warehouse, args.format, args.mode))
+        print(build(
+            spark, args.data, args.warehouse, args.format, args.mode, not args.single_line))
         return
-    categories = args.category or all_categories(spark, args.warehouse)
     tables = page_tables if args.action == "dashboard" else report_tables
     report.write_report(
-        tables(spark, args.warehouse, args.year, categories, args.monthly_target,
+        tables(spark, args.warehouse, args.year, args.category, args.monthly_target,
                args.retention_target),
         args.out, args.format)
 

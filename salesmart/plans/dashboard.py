@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from salesmart.plans import marts, report, retention, rfm, targets
 from salesmart.sources.sinks import Star
@@ -29,19 +29,29 @@ def kpi(
     return KPI_KINDS[kind](star, year, categories)
 
 
+def selected(star: Star, categories: Sequence[str] | None) -> Sequence[str] | None:
+    """The category filter a selection needs: none when it covers every product.
+
+    No selection argument means all categories; an empty selection is an error.
+    The check stops at the first product outside the selection.
+    """
+    if categories is None:
+        return None
+    if not categories:
+        raise ValueError("select at least one category")
+    outside = star.dim_product.filter(~F.col("category_name").isin(list(categories)))
+    return None if outside.isEmpty() else categories
+
+
 def dashboard_tables(
     star: Star,
-    categories: Sequence[str],
+    categories: Sequence[str] | None = None,
     year: int | None = None,
     monthly_target: float = targets.DEFAULT_MONTHLY_REVENUE,
     retention_target: float = targets.DEFAULT_RETENTION,
 ) -> dict[str, DataFrame]:
-    """Every table a page shows, for the newest year unless one is given.
-
-    At least one category must be selected.
-    """
-    if not categories:
-        raise ValueError("select at least one category")
+    """Every table a page shows, for the newest year unless one is given."""
+    categories = selected(star, categories)
     if year is None:
         year = marts.default_year(star)
     if year is None:

@@ -20,7 +20,7 @@ def test_folder_to_report(spark, tmp_path):
 def test_newest_year_may_have_no_sales(spark, tmp_path):
     from salesmart.plans.etl import run_etl
     run_etl(spark, fixtures.raw_tables(spark), str(tmp_path / "w"))
-    tables = jobs.report_tables(spark, str(tmp_path / "w"), None, [], 50_000, 70)
+    tables = jobs.report_tables(spark, str(tmp_path / "w"), None, None, 50_000, 70)
     assert tables["headline"].first().top_product == "-"
 
 
@@ -29,3 +29,10 @@ def test_parquet_folder(spark, tmp_path):
         fixtures.text_frame(spark, name).write.parquet(str(tmp_path / name))
     loaded = jobs.build(spark, str(tmp_path), str(tmp_path / "w"), fmt="parquet")
     assert loaded.kept_rows == 10
+
+
+def test_single_line_csv(spark, tmp_path):
+    for name in fixtures.TABLES:
+        fixtures.write_csv(tmp_path, name)
+    loaded = jobs.build(spark, str(tmp_path), str(tmp_path / "w"), multi_line=False)
+    assert loaded.kept_rows == 10

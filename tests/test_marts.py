@@ -218,7 +218,9 @@ def test_dashboard(star):
     page = dashboard.dashboard_tables(star, everything, 1996)
     assert rows(page["category_performance"]) == rows(marts.category_performance(star, 1996))
     assert rows(page["rfm_segment_counts"]) == [("Champions", 1), ("Lost", 1), ("Potential", 1)]
-    newest = dashboard.dashboard_tables(star, everything)
+    assert dashboard.selected(star, everything) is None
+    assert dashboard.selected(star, everything[:2]) == everything[:2]
+    newest = dashboard.dashboard_tables(star)
     assert rows(newest["financial_trend"]) == []
     assert rows(newest["scorecard"])[0][0] == 0.0
 
