@@ -16,8 +16,10 @@ NULL_TOKENS = (
 # Shapes of accepted date texts (month first, or ISO) and their formats.
 DATE_FORMATS = {
     r"^\d{1,2}/\d{1,2}/\d{4}": "M/d/yyyy[ H:mm[:ss]]",
-    r"^\d{4}-\d{1,2}-\d{1,2}T": "yyyy-M-d'T'H:mm[:ss[.SSS]]",
-    r"^\d{4}-\d{1,2}-\d{1,2}": "yyyy-M-d[ H:mm[:ss[.SSS]]]",
+    r"^\d{4}-\d{1,2}-\d{1,2}T": "yyyy-M-d'T'H:mm[:ss[.SSSSSSSSS]]",
+    r"^\d{4}-\d{1,2}-\d{1,2}": "yyyy-M-d[ H:mm[:ss[.SSSSSSSSS]]]",
+    r"^\d{4}/\d{1,2}/\d{1,2}": "yyyy/M/d[ H:mm[:ss]]",
+    r"^\d{8}$": "yyyyMMdd",
 }
 
 

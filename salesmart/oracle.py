@@ -157,16 +157,27 @@ def _products(rows: int, year: int = YEAR, by_category: bool = False) -> str:
 """
 
 
-_CATEGORY_REVENUE = f"""
+def _category_revenue(by_category: bool = False) -> str:
+    return f"""
   SELECT category_name, CAST(sum(revenue) AS DOUBLE) AS total_revenue
-  FROM sales WHERE year = {YEAR} GROUP BY category_name
+  FROM sales WHERE year = {YEAR} {_in_categories(by_category)} GROUP BY category_name
+"""
+
+
+def _geo(by_category: bool = False) -> str:
+    return f"""
+  SELECT country, CAST(sum(revenue) AS DOUBLE) AS total_revenue,
+         count(DISTINCT order_id) AS total_orders
+  FROM sales WHERE year = {YEAR} {_in_categories(by_category)} GROUP BY country
 """
 
-_RFM_CTES = f"""
+
+def _rfm_ctes(by_category: bool = False) -> str:
+    return f"""
 rfm_raw AS (
   SELECT company_name AS customer_name, max(full_date) AS last_order_date,
          count(DISTINCT order_id) AS frequency, CAST(sum(revenue) AS DOUBLE) AS monetary
-  FROM sales WHERE year = {YEAR} GROUP BY company_name
+  FROM sales WHERE year = {YEAR} {_in_categories(by_category)} GROUP BY company_name
 ),
 rfm_recency AS (
   SELECT *, CAST(date_diff('day', last_order_date, DATE '{YEAR}-12-31') AS INTEGER) AS recency
@@ -397,33 +408,36 @@ FROM ({_clv()} ORDER BY monetary_value DESC, company_name LIMIT 5)"""),
     "product_performance_by_category": _with(_products(20, by_category=True)),
     "top10_products": _with(_products(10)),
     "top15_products": _with(_products(15)),
-    "category_performance": _with(_CATEGORY_REVENUE),
+    "category_performance": _with(_category_revenue()),
+    "category_performance_by_category": _with(_category_revenue(by_category=True)),
     "category_share": _with(f"""
 SELECT category_name, total_revenue,
        round(total_revenue / CAST((SELECT sum(revenue) FROM sales WHERE year = {YEAR})
                                   AS DOUBLE), 6) AS share
-FROM ({_CATEGORY_REVENUE})"""),
-    "geo_performance": _with(f"""
-SELECT country, CAST(sum(revenue) AS DOUBLE) AS total_revenue,
-       count(DISTINCT order_id) AS total_orders
-FROM sales WHERE year = {YEAR} GROUP BY country"""),
-    "rfm_raw": _with(_RFM_CTES, f"""
+FROM ({_category_revenue()})"""),
+    "geo_performance": _with(_geo()),
+    "geo_performance_by_category": _with(_geo(by_category=True)),
+    "rfm_raw": _with(_rfm_ctes(), f"""
 SELECT customer_name, {_iso('last_order_date')} AS last_order_date, frequency, monetary
 FROM rfm_raw"""),
-    "rfm_recency": _with(_RFM_CTES, f"""
+    "rfm_recency": _with(_rfm_ctes(), f"""
 SELECT customer_name, {_iso('last_order_date')} AS last_order_date, frequency, monetary, recency
 FROM rfm_recency"""),
-    "rfm_scores": _with(_RFM_CTES, f"""
+    "rfm_scores": _with(_rfm_ctes(), f"""
 SELECT customer_name, {_iso('last_order_date')} AS last_order_date, frequency, monetary,
        recency, r_score, f_score
 FROM rfm_scores"""),
-    "rfm_segments": _with(_RFM_CTES, f"""
+    "rfm_segments": _with(_rfm_ctes(), f"""
+SELECT customer_name, {_iso('last_order_date')} AS last_order_date, frequency, monetary,
+       recency, r_score, f_score, segment
+FROM rfm_segments"""),
+    "rfm_segments_by_category": _with(_rfm_ctes(by_category=True), f"""
 SELECT customer_name, {_iso('last_order_date')} AS last_order_date, frequency, monetary,
        recency, r_score, f_score, segment
 FROM rfm_segments"""),
-    "rfm_segment_counts": _with(_RFM_CTES, """
+    "rfm_segment_counts": _with(_rfm_ctes(), """
 SELECT segment, count(*) AS customer_count FROM rfm_segments GROUP BY segment"""),
-    "rfm_customer_table": _with(_RFM_CTES, """
+    "rfm_customer_table": _with(_rfm_ctes(), """
 SELECT customer_name, segment, recency, frequency, monetary FROM rfm_segments"""),
     "revenue_vs_target": _with(f"""
 SELECT month, month_name, total_revenue, CAST({MONTHLY_TARGET} AS DOUBLE) AS target,

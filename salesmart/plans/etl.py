@@ -79,10 +79,12 @@ def run_etl(
     observed = resolved.observe(audit, *orphan_metrics(FOREIGN_KEYS))
     write_table(with_amounts(drop_orphans(observed, FOREIGN_KEYS)), root, FACT, mode)
     counts = audit.get
+    orphans = {key: counts[key] for key in FOREIGN_KEYS}
+    if counts["kept_rows"] == 0:
+        raise EmptyPhase(
+            f"none of {counts['joined_rows']} order lines resolves all keys: {orphans}")
     return LoadReport(
-        written | {FACT: counts["kept_rows"] > 0},
-        counts["joined_rows"], counts["kept_rows"],
-        {key: counts[key] for key in FOREIGN_KEYS})
+        written | {FACT: True}, counts["joined_rows"], counts["kept_rows"], orphans)
 
 
 def build_warehouse(

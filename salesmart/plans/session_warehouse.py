@@ -12,18 +12,26 @@ import uuid
 from pyspark.sql import SparkSession
 
 from salesmart.plans.etl import build_warehouse
-from salesmart.sources.sinks import Star
+from salesmart.sources.sinks import Star, open_warehouse
 from salesmart.sources.staging import shared_folder
 from salesmart.sources.testdata import raw_tables
 
-_open: dict[tuple[str, str], Star] = {}
+_roots: dict[tuple[str, str], str] = {}
+_open: dict[str, tuple[SparkSession, Star]] = {}
 _building = threading.Lock()
 
 
 def session_warehouse(spark: SparkSession, sf_dir: str) -> Star:
+    """The star schema of a folder, bound to the given session and its settings."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     with _building:
-        if key not in _open:
+        if key not in _roots:
             root = f"{shared_folder(spark)}/warehouse-{uuid.uuid4().hex}"
-            _open[key] = build_warehouse(spark, raw_tables(spark, sf_dir), root)
-        return _open[key]
+            _open[root] = spark, build_warehouse(spark, raw_tables(spark, sf_dir), root)
+            _roots[key] = root
+        root = _roots[key]
+        session, star = _open[root]
+        if session is not spark:
+            star = open_warehouse(spark, root)
+            _open[root] = spark, star
+        return star

@@ -261,11 +261,17 @@ STAR_QUERIES: dict[str, Query] = {
         "category_performance": lambda s: marts.category_performance(s, YEAR),
         "category_share":
             lambda s: marts.category_share(marts.category_performance(s, YEAR)),
+        "category_performance_by_category":
+            lambda s: marts.category_performance(s, YEAR, CATEGORIES),
         "geo_performance": lambda s: marts.geo_performance(s, YEAR),
+        "geo_performance_by_category":
+            lambda s: marts.geo_performance(s, YEAR, CATEGORIES),
         "rfm_raw": lambda s: marts.rfm_raw(s, YEAR),
         "rfm_recency": lambda s: rfm.rfm_recency(marts.rfm_raw(s, YEAR), YEAR),
         "rfm_scores": lambda s: rfm.rfm_scores(marts.rfm_raw(s, YEAR), YEAR),
         "rfm_segments": _segments,
+        "rfm_segments_by_category":
+            lambda s: rfm.rfm_segments(marts.rfm_raw(s, YEAR, CATEGORIES), YEAR),
         "rfm_segment_counts": lambda s: rfm.rfm_segment_counts(_segments(s)),
         "rfm_customer_table": lambda s: rfm.rfm_customer_table(_segments(s)),
         "revenue_vs_target": lambda s: targets.revenue_vs_target(_trend(s), MONTHLY_TARGET),

@@ -39,11 +39,13 @@ def test_conform_drops_unknown_and_casts(spark):
 
 def test_dates(spark):
     texts = ["12/08/1948 0:00", "1/2/2003", "1996-07-04", "1996-07-04 10:11:12",
-             "1996-07-04T10:11:12", "bad", "13/13/1996", None]
+             "1996-07-04T10:11:12", "1996-07-04 10:11:12.5", "1996/7/4", "19960704",
+             "bad", "13/13/1996", "1996-07", None]
     df = spark.createDataFrame([(t,) for t in texts], "d string")
     day = datetime.date(1996, 7, 4)
     assert column(df.select(cleaning.lenient_date(df, "d").alias("d")), "d") == [
-        datetime.date(1948, 12, 8), datetime.date(2003, 1, 2), day, day, day, None, None, None]
+        datetime.date(1948, 12, 8), datetime.date(2003, 1, 2), day, day, day, day, day, day,
+        None, None, None, None]
 
 
 def test_dates_from_timestamps(spark):

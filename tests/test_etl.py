@@ -114,6 +114,18 @@ def test_empty_or_missing_input_aborts(spark, tmp_path):
         run_etl(spark, raw | {"customers": raw["customers"].limit(0)}, str(tmp_path / "w"))
 
 
+def test_no_line_left_aborts_with_the_counts(spark, tmp_path):
+    from pyspark.sql import functions as F
+    raw = fixtures.raw_tables(spark)
+    lines = raw["order_details"]
+    strangers = lines.withColumn("productid", F.lit(555).cast("bigint"))
+    with pytest.raises(EmptyPhase, match="none of 16 order lines.*'product_key': 16"):
+        run_etl(spark, raw | {"order_details": strangers}, str(tmp_path / "a"))
+    headless = lines.withColumn("orderid", F.lit(555).cast("bigint"))
+    with pytest.raises(EmptyPhase, match="none of 0 order lines"):
+        run_etl(spark, raw | {"order_details": headless}, str(tmp_path / "b"))
+
+
 def test_unknown_dimension(spark):
     with pytest.raises(ValueError, match="unknown dimension"):
         build_dimension("dim_moon", {})
