@@ -1,10 +1,11 @@
-"""Run a registered query and its SQL, and compare the two results row by row."""
+"""Run a registered query and its SQL, and bring both results into one comparable form."""
 
 from __future__ import annotations
 
 import glob
 import math
 import os
+from collections import Counter
 
 import duckdb
 
@@ -19,20 +20,17 @@ def sql_rows(sf_dir: str, sql: str) -> tuple[list[str], list[tuple]]:
     return names, result.fetchall()
 
 
-def _norm(value):
-    if isinstance(value, float) and math.isnan(value):
-        return None
-    return value
+def spark_rows(df) -> tuple[list[str], list[tuple]]:
+    table = df.toArrow()
+    return table.column_names, list(zip(*[c.to_pylist() for c in table.columns]))
 
 
-def canonical(names: list[str], rows: list[tuple]) -> tuple[list[str], list[tuple]]:
-    """Columns in name order, rows in a fixed order, exact values."""
-    order = sorted(range(len(names)), key=lambda i: names[i])
-    picked = [tuple(_norm(row[i]) for i in order) for row in rows]
-    return [names[i] for i in order], sorted(
-        picked, key=lambda r: tuple((v is not None, str(type(v)), v) if v is not None
-                                    else (False, "", 0) for v in r))
+def _norm(value):
+    return None if isinstance(value, float) and math.isnan(value) else value
 
 
-def spark_rows(df) -> tuple[list[str], list[tuple]]:
-    return list(df.columns), [tuple(r) for r in df.collect()]
+def canonical(names: list[str], rows: list[tuple]) -> tuple[list[str], Counter]:
+    """Column names in order, and how often each exact row occurs."""
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return [names[i] for i in order], Counter(
+        tuple(_norm(row[i]) for i in order) for row in rows)

@@ -12,7 +12,7 @@ from salesmart.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
-        "tests", "local[4]",
+        "tests", "local[8]",
         **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "4g"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
