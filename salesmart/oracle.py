@@ -108,22 +108,18 @@ def _percent(part: str) -> str:
 
 def _retention_ctes(year: int = YEAR, tag: str = "", by_category: bool = False) -> str:
     return f"""
-customer_monthly{tag} AS (
-  SELECT year, month, customer_key, min(full_date) AS first_date
-  FROM sales WHERE year IN ({year}, {year} - 1) {_in_categories(by_category)}
-  GROUP BY year, month, customer_key
+window_sales{tag} AS (
+  SELECT customer_key, full_date, date_trunc('month', full_date) AS month_start
+  FROM sales WHERE year BETWEEN {year} - 1 AND {year} {_in_categories(by_category)}
 ),
-first_purchase{tag} AS (
-  SELECT customer_key, min(first_date) AS global_first_purchase
-  FROM customer_monthly{tag} GROUP BY customer_key
+active{tag} AS (
+  SELECT *, month_start = min(month_start) OVER (PARTITION BY customer_key) AS is_first
+  FROM (SELECT DISTINCT customer_key, month_start FROM window_sales{tag})
 ),
 monthly{tag} AS (
-  SELECT cm.year, cm.month, count(DISTINCT cm.customer_key) AS end_customers,
-         count(DISTINCT CASE WHEN year(fp.global_first_purchase) = cm.year
-                              AND month(fp.global_first_purchase) = cm.month
-                             THEN cm.customer_key END) AS new_customers
-  FROM customer_monthly{tag} cm JOIN first_purchase{tag} fp USING (customer_key)
-  GROUP BY cm.year, cm.month
+  SELECT CAST(year(month_start) AS INTEGER) AS year, CAST(month(month_start) AS INTEGER) AS month,
+         count(*) AS end_customers, count(*) FILTER (is_first) AS new_customers
+  FROM active{tag} GROUP BY month_start
 ),
 lagged{tag} AS (
   SELECT *, lag(end_customers) OVER (ORDER BY year, month) AS start_customers
@@ -376,8 +372,8 @@ UNION ALL SELECT 'suppliers', count(*) FROM supplier""",
     "financial_trend": _with(_trend()),
     "financial_trend_by_category": _with(_trend(by_category=True)),
     "customer_first_purchase": _with(_retention_ctes(), f"""
-SELECT customer_key, {_iso('global_first_purchase')} AS global_first_purchase
-FROM first_purchase"""),
+SELECT customer_key, {_iso('min(full_date)')} AS global_first_purchase
+FROM window_sales GROUP BY customer_key"""),
     "monthly_customers": _with(_retention_ctes(), "SELECT * FROM monthly"),
     "retention_rate": _with(_retention_ctes(), "SELECT * FROM retention"),
     "retention_rate_by_category": _with(

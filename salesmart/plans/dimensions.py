@@ -14,10 +14,46 @@ from salesmart.operators.hierarchy import parent_name
 from salesmart.operators.keys import number_rows
 from salesmart.sources.schemas import RAW_SCHEMAS
 
-# Texts that stand for a missing attribute.
+# Texts that stand for a missing attribute, and the columns of the
+# dimension tables with the raw columns they come from.
 UNKNOWN = "Unknown"
 NO_SUPERVISOR = "N/A"
 
+SHIPPER_COLUMNS = {
+    "shipper_id": "shipperid", "company_name": "companyname", "phone": "phone"}
+
+CUSTOMER_COLUMNS = {
+    "customer_id": "customerid", "company_name": "companyname",
+    "contact_name": "contactname", "contact_title": "contacttitle",
+    "address": "address", "city": "city", "region": "region",
+    "postal_code": "postalcode", "country": "country", "phone": "phone", "fax": "fax"}
+
+CATEGORY_COLUMNS = {
+    "categoryid": "categoryid", "category_name": "categoryname",
+    "category_description": "description"}
+
+SUPPLIER_COLUMNS = {
+    "supplierid": "supplierid", "supplier_name": "companyname",
+    "supplier_contact_name": "contactname", "supplier_country": "country",
+    "supplier_phone": "phone"}
+
+PRODUCT_COLUMNS = {
+    "product_id": "productid", "product_name": "productname",
+    "category_id": "categoryid", "category_name": "category_name",
+    "category_description": "category_description", "supplier_id": "supplierid",
+    "supplier_name": "supplier_name", "supplier_contact_name": "supplier_contact_name",
+    "supplier_country": "supplier_country", "supplier_phone": "supplier_phone",
+    "quantity_per_unit": "quantityperunit", "unit_price": "unitprice",
+    "units_in_stock": "unitsinstock", "units_on_order": "unitsonorder",
+    "reorder_level": "reorderlevel", "discontinued": "discontinued"}
+
+CUSTOMER_DEFAULTS = {"region": UNKNOWN, "postal_code": UNKNOWN}
+EMPLOYEE_DEFAULTS = {"salary": 0.0}
+PRODUCT_DEFAULTS = {
+    "category_name": UNKNOWN, "supplier_name": UNKNOWN, "supplier_contact_name": UNKNOWN,
+    "supplier_country": UNKNOWN, "supplier_phone": UNKNOWN, "units_in_stock": 0,
+    "discontinued": False}
+
 
 def _project(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """Select source columns under their target names."""
@@ -36,19 +72,13 @@ def _keyed(df: DataFrame, id_col: str, key: str) -> DataFrame:
 
 def build_dim_shipper(shippers: DataFrame) -> DataFrame:
     source = add_missing_columns(shippers, RAW_SCHEMAS["shippers"])
-    rows = _project(source, {
-        "shipper_id": "shipperid", "company_name": "companyname", "phone": "phone"})
+    rows = _project(source, SHIPPER_COLUMNS)
     return _keyed(rows, "shipper_id", "shipper_key")
 
 
 def build_dim_customer(customers: DataFrame) -> DataFrame:
     source = add_missing_columns(customers, RAW_SCHEMAS["customers"])
-    rows = _project(source, {
-        "customer_id": "customerid", "company_name": "companyname",
-        "contact_name": "contactname", "contact_title": "contacttitle",
-        "address": "address", "city": "city", "region": "region",
-        "postal_code": "postalcode", "country": "country", "phone": "phone", "fax": "fax"})
-    rows = with_defaults(rows, {"region": UNKNOWN, "postal_code": UNKNOWN})
+    rows = with_defaults(_project(source, CUSTOMER_COLUMNS), CUSTOMER_DEFAULTS)
     return _keyed(rows, "customer_id", "customer_key")
 
 
@@ -68,7 +98,7 @@ def build_dim_employee(employees: DataFrame) -> DataFrame:
         F.col("reportsto").alias("reports_to"),
         lenient_number("salary").alias("salary"),
     )
-    rows = with_defaults(rows, {"salary": 0.0})
+    rows = with_defaults(rows, EMPLOYEE_DEFAULTS)
     keyed = _keyed(rows, "employee_id", "employee_key")
     named = parent_name(
         keyed, "employee_id", "reports_to", "full_name", "employee_key",
@@ -82,28 +112,16 @@ def join_product_sources(
 ) -> DataFrame:
     """Products with category and supplier attributes; unmatched ones get the defaults."""
     items = add_missing_columns(products, RAW_SCHEMAS["products"])
-    groups = _project(add_missing_columns(categories, RAW_SCHEMAS["categories"]), {
-        "categoryid": "categoryid", "category_name": "categoryname",
-        "category_description": "description"}).filter(F.col("categoryid").isNotNull())
-    vendors = _project(add_missing_columns(suppliers, RAW_SCHEMAS["suppliers"]), {
-        "supplierid": "supplierid", "supplier_name": "companyname",
-        "supplier_contact_name": "contactname", "supplier_country": "country",
-        "supplier_phone": "phone"}).filter(F.col("supplierid").isNotNull())
+    groups = _project(
+        add_missing_columns(categories, RAW_SCHEMAS["categories"]), CATEGORY_COLUMNS
+    ).filter(F.col("categoryid").isNotNull())
+    vendors = _project(
+        add_missing_columns(suppliers, RAW_SCHEMAS["suppliers"]), SUPPLIER_COLUMNS
+    ).filter(F.col("supplierid").isNotNull())
     joined = items.join(groups, "categoryid", "left").join(vendors, "supplierid", "left")
-    rows = _project(joined, {
-        "product_id": "productid", "product_name": "productname",
-        "category_id": "categoryid", "category_name": "category_name",
-        "category_description": "category_description", "supplier_id": "supplierid",
-        "supplier_name": "supplier_name", "supplier_contact_name": "supplier_contact_name",
-        "supplier_country": "supplier_country", "supplier_phone": "supplier_phone",
-        "quantity_per_unit": "quantityperunit", "unit_price": "unitprice",
-        "units_in_stock": "unitsinstock", "units_on_order": "unitsonorder",
-        "reorder_level": "reorderlevel", "discontinued": "discontinued"})
-    return with_defaults(
-        rows.withColumn("discontinued", lenient_flag(rows, "discontinued")),
-        {"category_name": UNKNOWN, "supplier_name": UNKNOWN,
-         "supplier_contact_name": UNKNOWN, "supplier_country": UNKNOWN,
-         "supplier_phone": UNKNOWN, "units_in_stock": 0, "discontinued": False})
+    rows = _project(joined, PRODUCT_COLUMNS)
+    flagged = rows.withColumn("discontinued", lenient_flag(rows, "discontinued"))
+    return with_defaults(flagged, PRODUCT_DEFAULTS)
 
 
 def build_dim_product(

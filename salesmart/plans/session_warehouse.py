@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 
 from salesmart.plans.etl import build_warehouse
 from salesmart.sources.sinks import Star, open_warehouse
-from salesmart.sources.staging import shared_folder
+from salesmart.sources.staging import work_folder
 from salesmart.sources.testdata import raw_tables
 
 _roots: dict[tuple[str, str], str] = {}
@@ -26,7 +26,7 @@ def session_warehouse(spark: SparkSession, sf_dir: str) -> Star:
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     with _building:
         if key not in _roots:
-            root = f"{shared_folder(spark)}/warehouse-{uuid.uuid4().hex}"
+            root = f"{work_folder(spark)}/warehouse-{uuid.uuid4().hex}"
             _open[root] = spark, build_warehouse(spark, raw_tables(spark, sf_dir), root)
             _roots[key] = root
         root = _roots[key]

@@ -17,6 +17,7 @@ def schema(columns: str) -> T.StructType:
     return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
 
 
+# Columns of the raw tables.
 RAW_SCHEMAS: dict[str, T.StructType] = {
     "orders": schema(
         "orderid bigint, customerid string, employeeid bigint, orderdate string, "
@@ -47,6 +48,7 @@ RAW_SCHEMAS: dict[str, T.StructType] = {
 # Logical table name to file name in a data folder.
 SOURCE_FILES = {name: f"{name}.csv" for name in RAW_SCHEMAS}
 
+# Warehouse tables in load order, and the columns of the fact.
 DIMENSIONS = ("dim_shipper", "dim_customer", "dim_employee", "dim_product", "dim_date")
 FACT = "fact_sales"
 STAR_TABLES = DIMENSIONS + (FACT,)

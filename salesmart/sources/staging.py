@@ -14,6 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 _local_folder: str | None = None
 
 
+def work_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it may go once the application ended."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
     global _local_folder
@@ -29,6 +34,6 @@ def shared_folder(spark: SparkSession) -> str:
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it back."""
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = f"{work_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
