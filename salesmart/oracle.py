@@ -243,9 +243,9 @@ SELECT s_suppkey AS shipperid, s_name AS companyname, CAST(NULL AS VARCHAR) AS p
        CAST(NULL AS VARCHAR) AS fax
 FROM supplier""",
     "fill_defaults": """
-SELECT CAST(p_size AS BIGINT) AS supplierid, p_partkey AS productid,
+SELECT p_partkey AS supplierid, p_name AS productname,
        coalesce(s_name, 'Unknown') AS supplier_name, coalesce(s_acctbal, 0.0) AS balance
-FROM part LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal >= 0) ON p_size = s_suppkey""",
+FROM part LEFT JOIN supplier ON p_partkey = s_suppkey""",
     "lenient_parse": """
 SELECT o_orderkey,
        strftime(coalesce(try_strptime(day_text, '%m/%d/%Y %H:%M'),
@@ -278,10 +278,10 @@ SELECT c_custkey AS customerid, row_number() OVER (ORDER BY c_custkey) AS custom
 FROM customer""",
     "hierarchy_lookup": """
 WITH people AS (
-  SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS parent_id, c_name AS name
-  FROM customer WHERE c_acctbal >= 0
+  SELECT c_custkey AS id, nullif(CAST(c_nationkey AS BIGINT), 0) AS parent_id, c_name AS name
+  FROM customer
 )
-SELECT p.id, p.parent_id, p.name, coalesce(q.name, 'N/A') AS parent_name
+SELECT p.id, CAST(p.parent_id AS DOUBLE) AS parent_id, p.name, coalesce(q.name, 'N/A') AS parent_name
 FROM people p LEFT JOIN people q ON p.parent_id = q.id""",
     "key_lookup_left": _with("""
 SELECT l_suppkey AS shipvia, l_orderkey AS orderid, l_partkey AS productid,

@@ -9,7 +9,7 @@ from salesmart.functions.text import label, money_text, percent_text
 from salesmart.plans.marts import top_products
 from salesmart.plans.retention import average_rate
 from salesmart.plans.targets import (
-    DEFAULT_MONTHLY_REVENUE, DEFAULT_RETENTION, NO_PRODUCT, _first_product,
+    DEFAULT_MONTHLY_REVENUE, DEFAULT_RETENTION, NO_PRODUCT, first_product,
     formatted_retention, formatted_targets)
 
 # Rows of the report's ranked tables and of the product chart.
@@ -43,7 +43,7 @@ def report_headline(
     figures = trend.agg(
         F.coalesce(exact_sum(F.col("total_revenue")), F.lit(0.0)).alias("total"),
         F.count("*").alias("active_months"))
-    top = F.coalesce(_first_product(products, "product_name"), F.lit(NO_PRODUCT))
+    top = F.coalesce(first_product(products, "product_name"), F.lit(NO_PRODUCT))
     return figures.select(
         money_text(F.col("total")).alias("total_revenue"),
         percent_text(average_rate(retention)).alias("avg_retention"),

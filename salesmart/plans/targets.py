@@ -93,7 +93,7 @@ def revenue_peak_low(trend: DataFrame) -> DataFrame:
         _first_best("month_name", "total_revenue", "month", largest=False).alias("low_month"))
 
 
-def _first_product(products: DataFrame, column: str) -> Column:
+def first_product(products: DataFrame, column: str) -> Column:
     """A column of the top product, as a scalar; NULL when there is none."""
     return products.orderBy(
         F.col("total_revenue").desc_nulls_first(), "product_name", "category_name"
@@ -118,7 +118,7 @@ def kpi_scorecard(
         average.alias("avg_retention"),
         (average - before).alias("retention_delta"),
         customers.agg(F.count("*")).scalar().alias("active_customers"),
-        F.coalesce(_first_product(products, "product_name"), F.lit(NO_PRODUCT))
+        F.coalesce(first_product(products, "product_name"), F.lit(NO_PRODUCT))
         .alias("top_product"),
     ).withColumn("top_product_label", label(F.col("top_product"), "scorecard"))
 

@@ -71,11 +71,12 @@ def add_missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fill_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vendors = _suppliers_in_credit(spark, sf_dir).select(
+    vendors = testdata.table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("supplierid"),
         F.col("s_name").alias("supplier_name"), F.col("s_acctbal").alias("balance"))
-    joined = testdata.products(spark, sf_dir).select("productid", "supplierid").join(
-        vendors, "supplierid", "left")
+    items = testdata.products(spark, sf_dir).select(
+        F.col("productid").alias("supplierid"), "productname")
+    joined = items.join(vendors, "supplierid", "left")
     return cleaning.with_defaults(
         joined, {"supplier_name": dimensions.UNKNOWN, "balance": 0.0})
 
@@ -121,12 +122,14 @@ def surrogate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hierarchy_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = _customers_in_credit(spark, sf_dir).select(
-        F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("bigint").alias("parent_id"),
+    nation = F.col("c_nationkey").cast("bigint")
+    people = testdata.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.nullif(nation, F.lit(0)).alias("parent_id"),
         F.col("c_name").alias("name"))
-    return parent_name(
+    named = parent_name(
         people, "id", "parent_id", "name", "id", out="parent_name",
         default=dimensions.NO_SUPERVISOR)
+    return _gaps_as_double(named, "parent_id")
 
 
 def _dims_in_credit(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
