@@ -1,8 +1,11 @@
 """Command line: build the warehouse, write one year's dashboard or report tables.
 
-    spark-submit --py-files ... salesmart/jobs.py build DATA WAREHOUSE
-    spark-submit --py-files ... salesmart/jobs.py dashboard WAREHOUSE OUT --year 1997
-    spark-submit --py-files ... salesmart/jobs.py report WAREHOUSE OUT --year 1997
+    python -m salesmart.jobs build DATA WAREHOUSE
+    python -m salesmart.jobs dashboard WAREHOUSE OUT --year 1997
+    python -m salesmart.jobs report WAREHOUSE OUT --year 1997
+
+``spark-submit`` takes this file with the same arguments and the package's parent
+folder on ``PYTHONPATH``; executors run no Python.
 """
 
 from __future__ import annotations

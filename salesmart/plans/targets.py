@@ -48,14 +48,13 @@ def retention_vs_target(retention: DataFrame, target: float) -> DataFrame:
 
 
 def formatted_targets(trend: DataFrame, monthly_target: float) -> DataFrame:
-    """The revenue target table as report texts."""
+    """The revenue target table as report texts; a zero target counts as 0 % achieved."""
+    ratio = F.col("total_revenue") / F.nullif(F.col("target"), F.lit(0.0)) * 100
     return revenue_vs_target(trend, monthly_target).select(
         "month", "month_name",
         money_text(F.col("total_revenue")).alias("actual"),
         money_text(F.col("target")).alias("target"),
-        percent_text(
-            F.col("total_revenue") / F.nullif(F.col("target"), F.lit(0.0)) * 100
-        ).alias("achievement"))
+        percent_text(F.when(F.col("target") == 0, 0.0).otherwise(ratio)).alias("achievement"))
 
 
 def formatted_retention(retention: DataFrame, target: float) -> DataFrame:

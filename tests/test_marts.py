@@ -139,6 +139,8 @@ def test_target_tables(star):
     assert [r[4] for r in rows(targets.revenue_vs_target(trend, 0))] == [0.0, 0.0]
     assert rows(targets.formatted_targets(trend, 50_000)) == [
         (1, "January", "$321", "$50,000", "0.6%"), (3, "March", "$329", "$50,000", "0.7%")]
+    assert [r[3:] for r in rows(targets.formatted_targets(trend, 0))] == [
+        ("$0", "0.0%"), ("$0", "0.0%")]
     assert rows(targets.retention_vs_target(rates, 70)) == [
         (1, 50.0, 70.0, -20.0), (3, 150.0, 70.0, 80.0)]
     assert rows(targets.formatted_retention(rates, 70)) == [
