@@ -281,7 +281,8 @@ WITH people AS (
   SELECT c_custkey AS id, nullif(CAST(c_nationkey AS BIGINT), 0) AS parent_id, c_name AS name
   FROM customer
 )
-SELECT p.id, CAST(p.parent_id AS DOUBLE) AS parent_id, p.name, coalesce(q.name, 'N/A') AS parent_name
+SELECT p.id, CAST(p.parent_id AS DOUBLE) AS parent_id, p.name,
+       coalesce(q.name, 'N/A') AS parent_name
 FROM people p LEFT JOIN people q ON p.parent_id = q.id""",
     "key_lookup_left": _with("""
 SELECT l_suppkey AS shipvia, l_orderkey AS orderid, l_partkey AS productid,
