@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -28,6 +32,23 @@ def key_remainder(column: str, divisor: int) -> Column:
     return F.crc32(text) % divisor
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that tasks can import it."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = os.path.join(tempfile.mkdtemp(), f"{package.name}.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(application)
+
+
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[Iterable[tuple]], Iterable[tuple]]],
              chunk: int = 256) -> DataFrame:
     """Apply a row generator to the rows of each task.
@@ -49,6 +70,7 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[Iterable[t
         if rows:
             yield to_batch(rows, out)
 
+    ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

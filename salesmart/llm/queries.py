@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from salesmart.llm import bpe
+from salesmart.llm import bpe, tokenfiles, urls
 from salesmart.llm.common import table
 
 
@@ -14,6 +14,15 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), path)
 
 
-QUERIES = {query.__name__: query for query in [op1_bpe]}
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), *urls.default_rules(spark))
 
-ORACLES: dict[str, str] = {}
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return tokenfiles.round_trip(table(spark, sf_dir, "documents"), path, end_id=0)
+
+
+QUERIES = {query.__name__: query for query in [op1_bpe, op3_url_filter, op6_token_files]}
+
+ORACLES: dict[str, str] = {"op3_url_filter": urls.ORACLE}
