@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from salesmart.llm import bpe, tokenfiles, urls
+from salesmart.llm import bpe, neardup, tokenfiles, urls
 from salesmart.llm.common import table
 
 
@@ -23,6 +23,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.round_trip(table(spark, sf_dir, "documents"), path, end_id=0)
 
 
-QUERIES = {query.__name__: query for query in [op1_bpe, op3_url_filter, op6_token_files]}
+def op9_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
+QUERIES = {query.__name__: query for query in [
+    op1_bpe, op3_url_filter, op6_token_files, op9_minmax_dedup]}
 
 ORACLES: dict[str, str] = {"op3_url_filter": urls.ORACLE}
