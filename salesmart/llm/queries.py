@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from salesmart.llm import bpe, neardup, tokenfiles, urls
+from salesmart.llm import bpe, neardup, quality, tokenfiles, urls
 from salesmart.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), path)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), *urls.default_rules(spark))
 
@@ -28,6 +33,6 @@ def op9_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {query.__name__: query for query in [
-    op1_bpe, op3_url_filter, op6_token_files, op9_minmax_dedup]}
+    op1_bpe, op2_quality, op3_url_filter, op6_token_files, op9_minmax_dedup]}
 
 ORACLES: dict[str, str] = {"op3_url_filter": urls.ORACLE}
