@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from salesmart.llm import bpe, neardup, quality, tokenfiles, urls
+from salesmart.llm import bpe, extract, neardup, quality, tokenfiles, urls
 from salesmart.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), *urls.default_rules(spark))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return tokenfiles.round_trip(table(spark, sf_dir, "documents"), path, end_id=0)
@@ -33,6 +37,6 @@ def op9_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {query.__name__: query for query in [
-    op1_bpe, op2_quality, op3_url_filter, op6_token_files, op9_minmax_dedup]}
+    op1_bpe, op2_quality, op3_url_filter, op4_html_text, op6_token_files, op9_minmax_dedup]}
 
 ORACLES: dict[str, str] = {"op3_url_filter": urls.ORACLE}
