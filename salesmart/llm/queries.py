@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from salesmart.llm import bpe, extract, neardup, quality, tokenfiles, urls
+from salesmart.llm import bpe, decontaminate, extract, neardup, quality, tokenfiles, urls
 from salesmart.llm.common import table
 
 
@@ -32,11 +32,20 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.round_trip(table(spark, sf_dir, "documents"), path, end_id=0)
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
 QUERIES = {query.__name__: query for query in [
-    op1_bpe, op2_quality, op3_url_filter, op4_html_text, op6_token_files, op9_minmax_dedup]}
+    op1_bpe, op2_quality, op3_url_filter, op4_html_text, op6_token_files,
+    op8_decontaminate, op9_minmax_dedup]}
 
-ORACLES: dict[str, str] = {"op3_url_filter": urls.ORACLE}
+ORACLES: dict[str, str] = {
+    "op3_url_filter": urls.ORACLE,
+    "op8_decontaminate": decontaminate.ORACLE,
+}
