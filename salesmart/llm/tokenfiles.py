@@ -32,35 +32,38 @@ MANIFEST = ("partition int, name string, width int, nulls bigint, docs bigint, t
 READ = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
-class PieceIds(dict):
+class PieceIds:
     """Ids by piece, from the tokenizer; it splits texts as ``pieces`` does."""
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already fills the cores
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
     def learn(self, run: list[str]) -> None:
         """Encode the pieces that are not known yet, all at once."""
-        fresh = set(run).difference(self)
-        if len(self) + len(fresh) > CACHE_ENTRIES // 2:
-            self.older = dict(self)
-            self.clear()
+        fresh = [piece for piece in set(run) if piece not in self.known]
+        if len(self.known) + len(fresh) > CACHE_ENTRIES // 2:
+            self.older, self.known = self.known, {}
             fresh = set(run)
-        known = fresh.intersection(self.older)
-        self.update((piece, self.older[piece]) for piece in known)
-        fresh = list(fresh - known)
-        encoded = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-        self.update(zip(fresh, (tuple(item.ids) for item in encoded), strict=True))
+        new = []
+        for piece in fresh:
+            ids = self.older.get(piece)
+            if ids is None:
+                new.append(piece)
+            else:
+                self.known[piece] = ids
+        encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        self.known.update(zip(new, (tuple(item.ids) for item in encoded), strict=True))
 
     def encode(self, text: str) -> np.ndarray:
         ids: list[int] = []
         for run in pieces(text):
             self.learn(run)
-            ids.extend(chain.from_iterable(map(self.__getitem__, run)))
+            ids.extend(chain.from_iterable(map(self.known.__getitem__, run)))
         return np.array(ids, f"<u{self.width}")
 
 
