@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from salesmart.llm import bpe, decontaminate, extract, neardup, quality, tokenfiles, urls
+from salesmart.llm import bpe, decontaminate, extract, neardup, pii, quality, tokenfiles, urls
 from salesmart.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.main_text(table(spark, sf_dir, "pages"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return tokenfiles.round_trip(table(spark, sf_dir, "documents"), path, end_id=0)
@@ -42,7 +46,7 @@ def op9_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {query.__name__: query for query in [
-    op1_bpe, op2_quality, op3_url_filter, op4_html_text, op6_token_files,
+    op1_bpe, op2_quality, op3_url_filter, op4_html_text, op5_pii, op6_token_files,
     op8_decontaminate, op9_minmax_dedup]}
 
 ORACLES: dict[str, str] = {
