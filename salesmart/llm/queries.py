@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from salesmart.llm import bpe, decontaminate, extract, neardup, pii, quality, tokenfiles, urls
+from salesmart.llm import bpe, decontaminate, extract, katz, neardup, pii, quality, tokenfiles, urls
 from salesmart.llm.common import table
 
 
@@ -45,9 +45,13 @@ def op9_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {query.__name__: query for query in [
     op1_bpe, op2_quality, op3_url_filter, op4_html_text, op5_pii, op6_token_files,
-    op8_decontaminate, op9_minmax_dedup]}
+    op8_decontaminate, op9_minmax_dedup, op10_katz]}
 
 ORACLES: dict[str, str] = {
     "op3_url_filter": urls.ORACLE,
