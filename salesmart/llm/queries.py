@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from salesmart.llm import bpe, decontaminate, extract, katz, neardup, pii, quality, tokenfiles, urls
+from salesmart.llm import ann, bpe, decontaminate, extract, katz, neardup, pii, quality, tokenfiles, urls
 from salesmart.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.round_trip(table(spark, sf_dir, "documents"), path, end_id=0)
 
 
+def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -51,7 +55,7 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {query.__name__: query for query in [
     op1_bpe, op2_quality, op3_url_filter, op4_html_text, op5_pii, op6_token_files,
-    op8_decontaminate, op9_minmax_dedup, op10_katz]}
+    op7_multi_index, op8_decontaminate, op9_minmax_dedup, op10_katz]}
 
 ORACLES: dict[str, str] = {
     "op3_url_filter": urls.ORACLE,
