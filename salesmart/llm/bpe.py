@@ -203,25 +203,8 @@ def encode_text(text: str, cache: PieceCache) -> Iterator[list[int]]:
         yield list(chain.from_iterable(map(cache.__getitem__, run)))
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, text and the ids of the whole text; a null text is an empty one.
-
-    One row per input row, whatever repeats. Every task reads the vocabulary file once.
-    """
-    def make():
-        cache = encoder(path)
-
-        def work(rows):
-            for doc_id, text in rows:
-                yield doc_id, list(chain.from_iterable(encode_text(text or "", cache)))
-        return work
-
-    return map_rows(docs.select(F.col("doc_id").cast("bigint"), "text"),
-                    "doc_id bigint, ids array<int>", make)
-
-
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """Digests of every text's ids and of the bytes that they decode to.
+def round_trip(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
+    """Digests of every text's ids and of the bytes that they decode to; the ids if asked for.
 
     Null and empty texts have no ids and the digests of nothing; null doc_ids stay; rows
     that repeat are encoded each; other columns of ``docs`` are ignored.
@@ -234,13 +217,18 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         def work(rows):
             for doc_id, text in rows:
                 count, ids_digest, bytes_digest = 0, hashlib.sha256(), hashlib.sha256()
+                every: list[int] = []
                 for ids in encode_text(text or "", cache):
                     if ids:
                         ids_digest.update((b"," if count else b"") + ",".join(
                             map(decimals.__getitem__, ids)).encode())
                         bytes_digest.update(vocabulary.decode(ids))
                         count += len(ids)
-                yield doc_id, count, ids_digest.hexdigest(), bytes_digest.hexdigest()
+                        if keep_ids:
+                            every += ids
+                row = doc_id, count, ids_digest.hexdigest(), bytes_digest.hexdigest()
+                yield (*row, every) if keep_ids else row
         return work
 
-    return map_rows(docs.select(F.col("doc_id").cast("bigint"), "text"), SCHEMA, make)
+    schema = f"{SCHEMA}, ids array<int>" if keep_ids else SCHEMA
+    return map_rows(docs.select(F.col("doc_id").cast("bigint"), "text"), schema, make)
