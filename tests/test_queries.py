@@ -6,6 +6,8 @@ import pytest
 from compare import canonical, spark_rows, sql_rows
 
 from __spark_entry__ import entry, oracle_sql, queries
+from salesmart.oracle import ORACLES
+from salesmart.registry import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
@@ -13,13 +15,15 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables n
 
 
 def test_every_query_has_sql():
-    assert queries().keys() == oracle_sql().keys()
+    assert QUERIES.keys() == ORACLES.keys()
+    assert QUERIES.keys() <= queries().keys()
+    assert ORACLES.keys() <= oracle_sql().keys()
 
 
-@pytest.mark.parametrize("name", queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_sql(spark, name):
-    got = canonical(*spark_rows(queries()[name](spark, SF_DIR)))
-    want = canonical(*sql_rows(SF_DIR, oracle_sql()[name]))
+    got = canonical(*spark_rows(QUERIES[name](spark, SF_DIR)))
+    want = canonical(*sql_rows(SF_DIR, ORACLES[name]))
     assert got[0] == want[0]
     assert len(got[1]) > 0
     assert got[1] == want[1]
