@@ -148,9 +148,16 @@ CONTENT = frozenset("article body content entry main post story text".split())
 TAGS = "#page html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody thead tr td th blockquote pre figure figcaption nav header footer aside form fieldset menu address details summary hr dialog".split()
 _TAG_NUMBER = {tag: number for number, tag in enumerate(TAGS)}
 SHAPES = ["other tag", "clutter name", "content name", "no text", "short text", "long text",
-          "mostly links", "ends a sentence", "bias"]
+          "mostly links", "ends a sentence", "bias", "text where nothing is named as content"]
 NODE_FEATURES = len(TAGS) + len(SHAPES)
-EDGE_FEATURES = 4  # parent content or not, by child content or not
+#: An edge has one of four states, parent content or not by child content or not, and two
+#: kinds: what stands on the page itself is tied less to it than what stands in a part of it.
+EDGE_KINDS, EDGE_STATES = 2, 4
+WHOLE_PAGE = frozenset(["#page", "html", "body"])
+
+
+def edge_kinds(page: Page) -> list[int]:
+    return [int(page.tags[max(parent, 0)] in WHOLE_PAGE) for parent in page.parents]
 
 
 def node_features(page: Page) -> list[list[int]]:
@@ -162,6 +169,8 @@ def node_features(page: Page) -> list[list[int]]:
         linked[element] += links
         sentences[element] |= text[-1] in ".!?…。"
     first = len(TAGS)
+    unnamed = not any(tag in ("article", "main") or words & CONTENT
+                      for tag, words in zip(page.tags, page.words, strict=True))
     out = []
     for number, tag in enumerate(page.tags):
         found = [_TAG_NUMBER.get(tag, first), first + 8]
@@ -175,6 +184,8 @@ def node_features(page: Page) -> list[list[int]]:
             found.append(first + 6)
         if sentences[number]:
             found.append(first + 7)
+        if unnamed and length:
+            found.append(first + 9)
         out.append(found)
     return out
 
@@ -184,12 +195,13 @@ class Model(NamedTuple):
     edges: np.ndarray
 
 
-def marginals(nodes: list[float], edges: np.ndarray, parents: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def marginals(nodes: list[float], edges: np.ndarray, parents: list[int],
+              kinds: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Sum-product on a tree: the probability of content of each element, and of each edge's
-    four states. ``nodes`` are log odds, ``edges`` log potentials; parents come first."""
+    four states. ``nodes`` are log odds, ``edges`` log potentials by kind and state; parents
+    come first."""
     size = len(parents)
-    potentials = np.exp(edges).reshape(2, 2).tolist()
-    (aa, ab), (ba, bb) = potentials
+    potentials = np.exp(edges).tolist()
     own = np.exp(np.clip(nodes, -40, 40)).tolist()
     up0, up1 = [1.0] * size, own[:]  # what comes from below, with the element's own potential
     message0, message1 = [1.0] * size, [1.0] * size
@@ -197,6 +209,7 @@ def marginals(nodes: list[float], edges: np.ndarray, parents: list[int]) -> tupl
         total = up0[number] + up1[number]
         x0, x1 = up0[number] / total, up1[number] / total
         up0[number], up1[number] = x0, x1
+        aa, ab, ba, bb = potentials[kinds[number]]
         m0, m1 = aa * x0 + ab * x1, ba * x0 + bb * x1
         message0[number], message1[number] = m0, m1
         parent = parents[number]
@@ -211,6 +224,7 @@ def marginals(nodes: list[float], edges: np.ndarray, parents: list[int]) -> tupl
             x0, x1 = up0[0], up1[0]
         else:
             parent = parents[number]
+            aa, ab, ba, bb = potentials[kinds[number]]
             # What the parent knows without this child.
             p0, p1 = b0[parent] / message0[number], b1[parent] / message1[number]
             four = (p0 * aa * up0[number], p0 * ab * up1[number],
@@ -228,7 +242,7 @@ def content(page: Page, model: Model) -> np.ndarray:
     """Each element's probability of being content; inline elements follow their parent."""
     scores = [float(model.nodes[found].sum()) if tag not in INLINE else 0.0
               for found, tag in zip(node_features(page), page.tags, strict=True)]
-    return marginals(scores, model.edges, page.parents)[0]
+    return marginals(scores, model.edges, page.parents, edge_kinds(page))[0]
 
 
 def extract(source: str | None, model: Model) -> str:
@@ -240,7 +254,7 @@ def extract(source: str | None, model: Model) -> str:
     return "\n".join(text for element, text, _ in page.runs if likely[element] > 0.5)
 
 
-def train(labelled: Iterable[tuple[str, frozenset[str]]], steps: int = 150, rate: float = 0.5,
+def train(labelled: Iterable[tuple[str, frozenset[str]]], steps: int = 80, rate: float = 0.5,
           decay: float = 2e-3) -> Model:
     """Gradient ascent on the likelihood of labelled pages.
 
@@ -257,18 +271,20 @@ def train(labelled: Iterable[tuple[str, frozenset[str]]], steps: int = 150, rate
         # The marks that carry the labels are no features.
         words = [found - ids - {"not"} for found in page.words]
         page = page._replace(words=words)
-        pages.append((page.parents, node_features(page), truth))
-    model = Model(np.zeros(NODE_FEATURES), np.zeros(EDGE_FEATURES))
-    squares = Model(np.full(NODE_FEATURES, 1e-6), np.full(EDGE_FEATURES, 1e-6))
+        states = np.zeros((len(page.tags), EDGE_STATES))
+        states[np.arange(len(truth)), 2 * truth[page.parents] + truth] = 1
+        states[0] = 0
+        pages.append((page.parents, edge_kinds(page), node_features(page), truth, states))
+    model = Model(np.zeros(NODE_FEATURES), np.zeros((EDGE_KINDS, EDGE_STATES)))
+    squares = Model(np.full(NODE_FEATURES, 1e-6), np.full((EDGE_KINDS, EDGE_STATES), 1e-6))
     for _ in range(steps):
         node_slope, edge_slope = -decay * model.nodes, -decay * model.edges
-        for parents, found, truth in pages:
+        for parents, kinds, found, truth, states in pages:
             belief, pairs = marginals(
-                [float(model.nodes[f].sum()) for f in found], model.edges, parents)
+                [float(model.nodes[f].sum()) for f in found], model.edges, parents, kinds)
             for features, error in zip(found, truth - belief, strict=True):
                 node_slope[features] += error / len(pages)
-            states = np.bincount(2 * truth[parents[1:]] + truth[1:], minlength=4)
-            edge_slope += (states - pairs.sum(axis=0)) / len(pages)
+            np.add.at(edge_slope, kinds, (states - pairs) / len(pages))
         for values, slope, square in zip(model, (node_slope, edge_slope), squares, strict=True):
             square += slope * slope
             values += rate * slope / np.sqrt(square)
@@ -299,9 +315,25 @@ LABELLED = [
     f"<body><nav>{_LINKS}</nav><footer>{_TEXT}</footer></body>",
     f"<body><article class='yes'><h1>x</h1><p><a href='/x'>a linked line</a></p><p>x</p><div>x</div><p>{_TEXT}</p></article><aside>{_SHORT}</aside></body>",
     f"<p class='yes'>{_SHORT}</p>",
+    f"<body><nav>{_LINKS}</nav><h1 class='yes'>The river</h1><p class='yes'>{_TEXT}</p><p class='yes'>{_SHORT}</p><footer><p>{_SHORT}</p></footer></body>",
     f"<body><div class='yes'><h1>word</h1><p>{_SHORT}</p><p>{_TEXT}</p></div></body>",
     f"<body><p class='yes'>{_TEXT}</p><p class='yes'>{_TEXT} {_TEXT}</p></body>",
 ]
+_KINDS = [("nav", ""), ("header", ""), ("aside", ""), ("form", ""), ("footer", ""), ("div", "ad"),
+          ("div", "cookie notice"), ("div", "sidebar"), ("section", "comments"), ("div", "newsletter"),
+          ("div", "share"), ("div", "menu")]
+_INNER = [_SHORT, _TEXT, f"<p>{_SHORT}</p>", f"<h2>More</h2><p>{_TEXT}</p>{_LINKS}"]
+_PIECES = [(tag, name, inner) for tag, name in _KINDS for inner in _INNER]
+# Every kind of clutter inside an article and beside one, and beside text without an article.
+for _tag, _name, _inner in _PIECES:
+    _inside = f"<{_tag} class='not {_name}'>{_inner}</{_tag}>"
+    _beside = f"<{_tag} class='{_name}'>{_inner}</{_tag}>"
+    if _tag == "header":  # an article's own header may be part of it
+        _inside = ""
+    LABELLED += [
+        f"<body>{_beside}<article class='yes'><h1>The river</h1><p>{_TEXT}</p>{_inside}<p>{_SHORT}</p><div><p>x</p></div></article>{_beside}</body>",
+        f"<body>{_beside}<h1 class='yes'>The river</h1><p class='yes'>{_TEXT}</p><p class='yes'>{_SHORT}</p>{_beside}</body>",
+    ]
 
 
 @lru_cache(maxsize=1)

@@ -228,3 +228,27 @@ def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     gone = near_duplicates(docs, size, percent).where("NOT kept").select(
         F.col("doc_id").alias("gone_id"))
     return docs.join(stage(gone, "duplicates"), F.col("doc_id") == F.col("gone_id"), "left_anti")
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(words) > 4 THEN words[i + 1 : i + 4] ELSE words END AS shingle
+  FROM d, unnest(range(greatest(len(words) - 3, 1))) AS t(i) WHERE len(words) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k
+  FROM shingles a JOIN shingles b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM shared JOIN sizes sx ON sx.doc_id = x JOIN sizes sy ON sy.doc_id = y
+  WHERE 100 * k >= 80 * (sx.n + sy.n - k)),
+edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM d UNION
+  SELECT reached.doc_id, edges.y FROM reached JOIN edges ON reached.other = edges.x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+LEFT JOIN sizes USING (doc_id)
+"""

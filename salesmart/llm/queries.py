@@ -60,4 +60,5 @@ QUERIES = {query.__name__: query for query in [
 ORACLES: dict[str, str] = {
     "op3_url_filter": urls.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
+    "op9_minmax_dedup": neardup.ORACLE,
 }

@@ -1,0 +1,120 @@
+"""Personal data against the patterns as they are stated."""
+
+import hashlib
+import re
+
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from salesmart.llm import pii
+
+# The patterns of the contract.
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    doubled = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+    return sum(d - 9 if d > 9 else d for d in doubled) % 10 == 0
+
+
+def strict_spans(text):
+    spans = {kind: [] for kind in PATTERNS}
+    for kind, pattern in PATTERNS.items():
+        for match in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", match.group())
+            if (kind == "ip" and max(map(int, match.group().split("."))) > 255
+                    or kind == "card" and not (13 <= len(digits) <= 19 and luhn(digits))
+                    or kind == "phone" and not 9 <= len(digits) <= 15):
+                continue
+            spans[kind].append(match.span())
+    return spans
+
+
+def as_text(spans):
+    return ",".join(f"{kind}:{start}:{end}" for kind in PATTERNS for start, end in spans[kind])
+
+
+def check(docs):
+    rows = pii.personal_data(docs).collect()
+    want = sorted((str(row["doc_id"]), as_text(strict_spans(row["text"]))) for row in docs.collect())
+    got = sorted((str(row["doc_id"]), row["spans"], row) for row in rows)
+    assert [(key, spans) for key, spans, _ in got] == want
+    for _, spans, row in got:
+        assert row["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest()
+        for kind in PATTERNS:
+            assert row[f"n_{kind}"] == sum(part.startswith(f"{kind}:") for part in spans.split(","))
+
+
+TRICKY = [
+    "a@b.c_d@e.f x@y ..@a.b.c- %@-.-", "1.2.3.4.5 999.1.1.1 01.2.3.004 1.2.3", "0255.1.1.1 256.0.0.1",
+    "4111 1111 1111 1111 and 4111-1111-1111-1112 4111  1111", "+1 (988) 555-2485. é😀 +44 20 7946 0958",
+    "+1+2+3 +12345678 +123456789 +1234567890123456", "😀 x@y.zz 日本 7.7.7.7", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1",
+]
+
+
+def test_strict_spans_equal_the_patterns(spark, sf_docs, odd_docs, no_docs):
+    rows = list(enumerate(TRICKY))
+    rows += [(100, "1" * 60_000), (101, "a" * 60_000 + "@b.cc"), (102, "1.2.3.4 " * 3000), (103, "a.b" * 20_000)]
+    check(spark.createDataFrame(rows, "doc_id long, text string"))
+    check(sf_docs.select("doc_id", "text"))
+    check(odd_docs)
+    assert pii.personal_data(no_docs).collect() == []
+
+
+def test_random_texts(spark):
+    texts = []
+
+    @settings(max_examples=200, database=None)
+    @given(st.text("0123456789 .-+()@a_é%", max_size=40))
+    def gather(text):
+        texts.append((len(texts), text))
+
+    gather()
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = {row["doc_id"]: row for row in pii.personal_data(docs).collect()}
+    for key, text in texts:
+        assert found[key]["base_sha256"] == hashlib.sha256(
+            as_text(strict_spans(text)).encode()).hexdigest()
+
+
+def test_contexts_reveal_unseen_members(spark):
+    seeds = [(i, f"{i}th letter: my phone is +1 555 123 45{i:02d} at home") for i in range(20)]
+    unseen = [(100, "please note my phone is 555-123-9999 at home"), (101, "my phone is broken 555")]
+    clean = [(200, "the hill is 555-123-9998 feet, page 12"), (201, "no number here")]
+    docs = spark.createDataFrame(seeds + unseen + clean, "doc_id long, text string")
+    spans = {row["doc_id"]: row["spans"] for row in pii.personal_data(docs).collect()}
+    text = unseen[0][1]
+    assert spans[100] == f"phone:{text.index('555')}:{text.index(' at home')}"
+    assert spans[101] == spans[200] == spans[201] == ""
+    assert "[PHONE] at home" in pii.redact(docs).where("doc_id = 100").first()["text"]
+
+
+def test_redaction(spark, odd_docs, no_docs):
+    docs = spark.createDataFrame(
+        [(1, "mail a@b.cc and 4111 1111 1111 1111 é 1.2.3.4", 7), (2, "nothing", 8), (3, None, 9)],
+        "doc_id long, text string, kind int")
+    rows = {row["doc_id"]: row for row in pii.redact(docs).collect()}
+    assert rows[1]["text"] == "mail [EMAIL] and [CARD] é [IP]"
+    assert rows[2]["text"] == "nothing" and rows[3]["text"] is None and rows[3]["kind"] == 9
+    assert pii.redact(odd_docs).count() == odd_docs.count()
+    assert pii.redact(odd_docs).columns == odd_docs.columns
+    assert pii.redact(no_docs).collect() == []
+
+
+def test_sums_of_long_arrays(spark):
+    rows = spark.range(1).select(pii.sums_before(F.sequence(F.lit(1), F.lit(1000))).alias("s"),
+                                 pii.sums_before(F.array().cast("array<int>")).alias("none"))
+    row = rows.first()
+    assert row["s"] == [i * (i + 1) // 2 for i in range(1000)]
+    assert row["none"] == []
+
+
+def test_no_python_in_the_plan(sf_docs):
+    for df in (pii.personal_data(sf_docs), pii.redact(sf_docs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "CartesianProduct"))
