@@ -55,14 +55,14 @@ SCORES = ("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, "
 
 def pack(values: np.ndarray) -> bytes:
     """Numbers as compressed byte planes."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack(data: bytes, dtype: str) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
     width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(planes.reshape(width, -1).T).view(dtype).reshape(-1)
+    return np.ascontiguousarray(planes.reshape(width, -1).T).reshape(-1).view(dtype)
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -336,7 +336,8 @@ def context_sums(answers: DataFrame, folder: str, model: Model, shards: int) ->
             scale = model.words.total + 0.5 * (model.words.types + 1)
             base = np.log10((word_counts[tokens] + 0.5) / scale)
             logs = np.empty(len(tokens))
-            logs[seen] = np.log10(kept_count(held[seen], model.pairs))
+            logs[seen] = np.log10(
+                kept_count(held[seen], model.pairs) / context_counts[contexts[seen]])
             logs[~seen] = np.log10(shares[tokens[~seen]])
             size = len(block.lengths)
             # Contexts in the order of their hashes, the start among them.
@@ -401,10 +402,10 @@ def _finish(folder: str, train_tokens: int, rows: Iterable[tuple]) -> Iterator[t
         (ids, known_id, held_out, lengths, known, base, logs, owners, contexts, seen,
          counts) = load_parts(f"{folder}/{name}.scores", [
              "<i8", "u1", "u1", "<i8", "<u8", "<f8", "<f8", "<u4", "<u4", "u1", "<u8"])
-        # A seen pair's discounted count is divided by its context's; others take the weight.
-        divisor = np.log10(np.maximum(counts, 1) + (weights < 0))
+        # Pairs not seen take the weight; seen ones share with a count that is added.
+        shared = np.where(weights < 0, np.log10(np.maximum(counts, 1) / (counts + 1.0)), 0)
         weight = np.log10(np.abs(weights))
-        terms = np.where(seen == 1, -divisor[contexts], weight[contexts])
+        terms = np.where(seen == 1, shared[contexts], weight[contexts])
         scores = logs + np.bincount(owners, weights=terms, minlength=len(lengths))
         for at in range(len(lengths)):
             yield (int(ids[at]) if known_id[at] else None, bool(held_out[at]), int(lengths[at]),
