@@ -13,15 +13,37 @@ NULL_TOKENS = (
     "n/a", "nan", "null",
 )
 
-# Shapes of accepted date texts (month first, or ISO) and their formats.
+_MONTH = ("(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|"
+          "sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)")
+
+# Shapes of accepted date texts (month first, or ISO) and their formats, after
+# ``_plain_date_text`` has taken off zones and written years and months in one way.
 DATE_FORMATS = {
+    r"^\d{1,2}/\d{1,2}/\d{4} +\d{1,2}:\d{2}.*[AaPp][Mm]$": "M/d/yyyy h:mm[:ss] a",
     r"^\d{1,2}/\d{1,2}/\d{4}": "M/d/yyyy[ H:mm[:ss]]",
     r"^\d{4}-\d{1,2}-\d{1,2}T": "yyyy-M-d'T'H:mm[:ss[.SSSSSSSSS]]",
     r"^\d{4}-\d{1,2}-\d{1,2}": "yyyy-M-d[ H:mm[:ss[.SSSSSSSSS]]]",
     r"^\d{4}/\d{1,2}/\d{1,2}": "yyyy/M/d[ H:mm[:ss]]",
     r"^\d{8}$": "yyyyMMdd",
+    r"^[A-Za-z]{3} \d": "MMM d yyyy[ H:mm[:ss]]",
+    r"^\d{1,2} [A-Za-z]{3} ": "d MMM yyyy[ H:mm[:ss]]",
 }
 
+# Rewritings that bring a date text to one of the shapes above. Two-digit years
+# from 69 on are of the last century.
+DATE_REWRITES = (
+    (rf"(?i)^(\d.*\d:\d{{2}}\S*?) *(?:Z|UTC|GMT|[+-]\d{{2}}:?\d{{2}})$", "$1"),
+    (r"^(?<md>\d{1,2}/\d{1,2}/)(?<yy>69|[7-9]\d)(?=$| )", "${md}19${yy}"),
+    (r"^(?<md>\d{1,2}/\d{1,2}/)(?<yy>\d{2})(?=$| )", "${md}20${yy}"),
+    (r"(?i)(\d) ?([ap]m)$", "$1 $2"),
+    (rf"(?i)^(?<day>\d{{1,2}})[- ]+(?<month>(?={_MONTH}\b)[a-z]{{3}})[a-z]*\.?[-, ]+",
+     "${day} ${month} "),
+    (rf"(?i)^(?<month>(?={_MONTH}\b)[a-z]{{3}})[a-z]*\.? +(?<day>\d{{1,2}}),? +(?=\d{{4}})",
+     "${month} ${day} "),
+    (r"^(?<dm>\d{1,2} [A-Za-z]{3} )(?<yy>69|[7-9]\d)(?=$| )", "${dm}19${yy}"),
+    (r"^(?<dm>\d{1,2} [A-Za-z]{3} )(?<yy>\d{2})(?=$| )", "${dm}20${yy}"),
+)
+
 
 def normalize_columns(df: DataFrame) -> DataFrame:
     """Lower-case every column name."""
@@ -59,13 +81,33 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def lenient_cast(df: DataFrame, column: str, target: T.DataType) -> Column:
-    """Cast that gives NULL for unreadable text; ``10.0`` is readable as a whole number."""
+    """Cast that gives NULL for what the type cannot hold.
+
+    ``10.0`` is readable as a whole number, ``2.5`` is not; NaN means no value.
+    """
     source, value = df.schema[column].dataType, F.col(column)
-    if source == target:
-        return value
-    if isinstance(source, T.StringType) and isinstance(target, T.IntegralType):
-        return value.try_cast("decimal(38,6)").try_cast(target)
-    return value.try_cast(target)
+    if isinstance(target, T.IntegralType) and not isinstance(source, T.IntegralType):
+        exact = value.try_cast("decimal(38,6)")
+        return F.when(exact == F.floor(exact), exact).try_cast(target)
+    if isinstance(target, T.FractionalType) and not isinstance(target, T.DecimalType):
+        return no_nan(value.try_cast(target))
+    return value if source == target else value.try_cast(target)
+
+
+def no_nan(value: Column) -> Column:
+    """NULL for NaN."""
+    return F.when(~F.isnan(value), value)
+
+
+def unreadable_values(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Per column of the schema, how many values other than null tokens become NULL."""
+    named = add_missing_columns(clean_null_tokens(normalize_columns(df)), schema)
+    lost = named.agg(*[
+        F.count_if(F.col(f.name).isNotNull() & lenient_cast(named, f.name, f.dataType).isNull())
+        .alias(f.name) for f in schema.fields])
+    return lost.select(F.explode(F.array(*[
+        F.struct(F.lit(f.name).alias("column_name"), F.col(f.name).alias("unreadable_rows"))
+        for f in schema.fields])).alias("c")).select("c.*")
 
 
 def lenient_flag(df: DataFrame, column: str) -> Column:
@@ -76,17 +118,28 @@ def lenient_flag(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("boolean")
 
 
+def _plain_date_text(value: Column) -> Column:
+    for pattern, plain in DATE_REWRITES:
+        value = F.regexp_replace(value, pattern, plain)
+    return value
+
+
 def lenient_date(df: DataFrame, column: str) -> Column:
     """Date of a text, date or timestamp column; text no format accepts gives NULL.
 
-    The shape picks the format, because a failed parse costs far more than a match.
+    The date is the one that is written, whatever zone follows it. The shape picks the format,
+    because a failed parse costs far more than a match; texts in the two commonest shapes are
+    not rewritten.
     """
     value = F.col(column)
     if not isinstance(df.schema[column].dataType, T.StringType):
         return value.cast("date")
+    trimmed = F.trim(value)
+    common = trimmed.rlike(r"^(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/\d{4}(?: \d{1,2}:\d{2})?)$")
+    plain = F.when(common, trimmed).otherwise(_plain_date_text(trimmed))
     parsed = F.lit(None).cast("date")
     for shape, pattern in reversed(DATE_FORMATS.items()):
-        parsed = F.when(value.rlike(shape), F.try_to_date(value, pattern)).otherwise(parsed)
+        parsed = F.when(plain.rlike(shape), F.try_to_date(plain, pattern)).otherwise(parsed)
     return parsed
 
 

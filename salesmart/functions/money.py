@@ -12,8 +12,9 @@ from pyspark.sql import Column, functions as F
 
 
 def line_cents(quantity: Column, unit_price: Column, discount: Column) -> Column:
-    """Net line amount in cents, half cents to the even cent."""
-    return F.rint(quantity * unit_price * (F.lit(1) - discount) * 100).cast("bigint")
+    """Net line amount in cents, half cents to the even cent; NULL if a factor is NaN."""
+    cents = F.rint(quantity * unit_price * (F.lit(1) - discount) * 100)
+    return F.when(~F.isnan(cents), cents).cast("bigint")
 
 
 def cents_to_decimal(cents: Column) -> Column:

@@ -26,7 +26,7 @@ from salesmart.sources.staging import stage
 
 def build(
     spark: SparkSession, data: str, warehouse: str, fmt: str = "csv", mode: str = "overwrite",
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> LoadReport:
     """Read a data folder and write the star schema.
 
@@ -64,6 +64,7 @@ def report_tables(
 
 def main(arguments: Sequence[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="salesmart")
+    parser.add_argument("--work-folder", help="shared folder for staged tables")
     actions = parser.add_subparsers(dest="action", required=True)
     builder = actions.add_parser("build")
     builder.add_argument("data")
@@ -71,7 +72,7 @@ def main(arguments: Sequence[str] | None = None) -> None:
     builder.add_argument("--format", choices=["csv", "parquet"], default="csv")
     builder.add_argument("--mode", choices=["overwrite", "append"], default="overwrite")
     builder.add_argument("--single-line", action="store_true",
-                         help="no line breaks inside CSV fields: large files are split")
+                         help="no line breaks inside CSV fields of any table: all files are split")
     for action in ("dashboard", "report"):
         writer = actions.add_parser(action)
         writer.add_argument("warehouse")
@@ -84,10 +85,12 @@ def main(arguments: Sequence[str] | None = None) -> None:
         writer.add_argument("--format", choices=["parquet", "json"], default="parquet")
     args = parser.parse_args(arguments)
 
-    spark = build_session("salesmart")
+    settings = {"spark.checkpoint.dir": args.work_folder} if args.work_folder else {}
+    spark = build_session("salesmart", **settings)
     if args.action == "build":
         print(build(
-            spark, args.data, args.warehouse, args.format, args.mode, not args.single_line))
+            spark, args.data, args.warehouse, args.format, args.mode,
+            False if args.single_line else None))
         return
     tables = page_tables if args.action == "dashboard" else report_tables
     report.write_report(

@@ -43,15 +43,18 @@ def number_rows(
 
 
 def lookup_key(
-    df: DataFrame, dimension: DataFrame, foreign_id: str, dim_id: str, key: str
+    df: DataFrame, dimension: DataFrame, foreign_id: str, dim_id: str, key: str,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Add a dimension's surrogate key by source id; unresolved rows get a NULL key.
 
+    ``carry`` names attributes that come along with the key.
+
     A NULL id never matches. Spark picks the join by the dimension's size and
     splits hot ids at run time.
     """
     pairs = dimension.filter(F.col(dim_id).isNotNull()).select(
-        F.col(dim_id).alias(foreign_id), key)
+        F.col(dim_id).alias(foreign_id), key, *carry)
     return df.join(pairs, foreign_id, "left")
 
 

@@ -258,6 +258,28 @@ FROM (SELECT o_orderkey,
              CASE o_orderstatus WHEN 'P' THEN 'n.a.'
                                 ELSE CAST(o_totalprice AS VARCHAR) END AS amount_text
       FROM orders)""",
+    "lenient_dates": """
+SELECT o_orderkey,
+       CASE WHEN o_orderkey % 10 <> 9 THEN strftime(o_orderdate, '%Y-%m-%d') END AS parsed_day
+FROM orders""",
+    "lenient_numbers": """
+SELECT CAST(l_orderkey AS BIGINT) AS orderid, CAST(l_linenumber AS BIGINT) AS line,
+       l_quantity + 0.5 AS quantity, CAST(l_orderkey AS BIGINT) * 10000000000 AS wide,
+       CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_partkey AS DOUBLE) END AS code
+FROM lineitem""",
+    "lines_with_nan": """
+SELECT l_orderkey AS orderid, l_linenumber AS line,
+       CASE WHEN l_linenumber % 3 = 2 THEN
+         round_even(l_quantity * (l_extendedprice / l_quantity) * (1 - l_discount) * 100, 0) / 100
+       END AS total_sales
+FROM lineitem""",
+    "etl_append": _with("""
+SELECT f.order_id, c.customer_id, p.product_id, e.employee_id, s.shipper_id,
+       strftime(d.full_date, '%Y-%m-%d') AS full_date, f.quantity,
+       CAST(f.revenue AS DOUBLE) AS total_sales
+FROM fact_sales f JOIN dim_customer c USING (customer_key) JOIN dim_product p USING (product_key)
+JOIN dim_employee e USING (employee_key) JOIN dim_shipper s USING (shipper_key)
+JOIN dim_date d USING (date_key)"""),
     "full_name": """
 SELECT c_custkey,
        CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment END || ' ' || c_name AS full_name

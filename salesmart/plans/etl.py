@@ -6,16 +6,18 @@ from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from salesmart.functions.cleaning import normalize_columns, require
-from salesmart.operators.keys import drop_orphans, orphan_metrics
+from salesmart.operators.hierarchy import parent_name
+from salesmart.operators.keys import drop_orphans, number_rows, orphan_metrics
 from salesmart.plans.dimensions import (
-    build_dim_customer, build_dim_date, build_dim_employee, build_dim_product,
+    NO_SUPERVISOR, build_dim_customer, build_dim_date, build_dim_employee, build_dim_product,
     build_dim_shipper, order_date_sources)
 from salesmart.plans.facts import balanced_by_year, resolve_keys, with_amounts
-from salesmart.sources.schemas import DIMENSIONS, FACT, FOREIGN_KEYS, RAW_SCHEMAS
-from salesmart.sources.sinks import Star, load_table, open_warehouse, read_table, write_table
+from salesmart.sources.schemas import DIMENSION_IDS, DIMENSIONS, FACT, FOREIGN_KEYS, RAW_SCHEMAS
+from salesmart.sources.sinks import (
+    Star, load_table, open_warehouse, read_table, table_exists, write_table)
 
 
 class EmptyPhase(RuntimeError):
@@ -47,6 +49,33 @@ def build_dimension(name: str, raw: Mapping[str, DataFrame]) -> DataFrame:
     raise ValueError(f"unknown dimension: {name}")
 
 
+def unseen_rows(spark: SparkSession, df: DataFrame, root: str, name: str) -> DataFrame:
+    """The rows of a dimension whose source id the warehouse does not hold yet.
+
+    They get keys above the greatest present one, and one row per id: the first in key order.
+    Rows the warehouse holds stay as they are, so keys on the fact keep their meaning.
+    """
+    id_col, key = DIMENSION_IDS[name]
+    known = read_table(spark, root, name)
+    ids = known.select(F.col(id_col).alias("known_id")).distinct()
+    fresh = df.join(ids, F.col(id_col).eqNullSafe(F.col("known_id")), "left_anti")
+    if key is None:
+        return fresh
+    firsts = fresh.groupBy(id_col).agg(F.min(key).alias(key)).select(key)
+    fresh = fresh.join(firsts, key, "left_semi")
+    if name == "dim_employee":
+        # A new employee's supervisor may have come with an earlier load.
+        people = ["employee_id", "full_name", "employee_key"]
+        fresh = parent_name(
+            fresh.drop("reports_to_name"), "employee_id", "reports_to", "full_name", "employee_key",
+            out="reports_to_name", default=NO_SUPERVISOR,
+            among=known.select(people).union(fresh.select(people)))
+    top = known.agg(F.max(key)).first()[0] or 0
+    columns = [c for c in known.columns if c != key]
+    numbered = number_rows(fresh.select(columns), [id_col], key)
+    return numbered.withColumn(key, F.col(key) + top).select(*known.columns)
+
+
 def run_etl(
     spark: SparkSession, raw: Mapping[str, DataFrame], root: str, mode: str = "overwrite"
 ) -> LoadReport:
@@ -57,8 +86,9 @@ def run_etl(
     from real table sizes and no dimension is computed twice. Line counts are
     observed in the writing tasks: that costs no pass of its own, and a task
     repeated after a lost executor is counted once. Failures are raised, not
-    skipped. ``overwrite`` makes a repeated run leave the same tables;
-    ``append`` adds the rows again.
+    skipped. ``overwrite`` makes a repeated run leave the same tables.
+    ``append`` adds to a warehouse: dimension rows of ids it does not hold, dates once, and
+    every line of this input once. Ids it holds keep their key and attributes.
     """
     require(raw, RAW_SCHEMAS)
     raw = {name: normalize_columns(df) for name, df in raw.items()}
@@ -66,7 +96,11 @@ def run_etl(
         raise EmptyPhase("no orders or no order lines to transform")
 
     def load(name: str) -> bool:
-        return load_table(build_dimension(name, raw), root, name, mode)
+        rows = build_dimension(name, raw)
+        if mode == "append" and table_exists(spark, root, name):
+            load_table(unseen_rows(spark, rows, root, name), root, name, mode)
+            return True
+        return load_table(rows, root, name, mode)
 
     with ThreadPoolExecutor(len(DIMENSIONS)) as pool:
         written = dict(zip(DIMENSIONS, pool.map(load, DIMENSIONS)))

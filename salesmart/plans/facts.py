@@ -20,6 +20,9 @@ KEY_LOOKUPS = (
     ("shipvia", "dim_shipper", "shipper_id", "shipper_key"),
 )
 
+# Attributes with few values that lines are filtered by; on the fact they need no join.
+CARRIED = {"dim_product": ("category_name",)}
+
 # Line total before and after the copy to the revenue column.
 AMOUNTS = ("total_sales", "revenue")
 
@@ -28,7 +31,7 @@ def _with_keys(df: DataFrame, dims: Mapping[str, DataFrame]) -> DataFrame:
     """Resolve every lookup whose source id this table carries."""
     for foreign_id, dim, dim_id, key in KEY_LOOKUPS:
         if foreign_id in df.columns:
-            df = lookup_key(df, dims[dim], foreign_id, dim_id, key)
+            df = lookup_key(df, dims[dim], foreign_id, dim_id, key, CARRIED.get(dim, ()))
     return df
 
 
@@ -54,7 +57,7 @@ def resolve_keys(
         .withColumnsRenamed({"orderid": "order_id", "unitprice": "unit_price"})
         .withColumn("revenue_cents", line_cents(
             F.col("quantity"), F.col("unit_price"), F.col("discount")))
-        .select(*[c for c in FACT_COLUMNS if c not in AMOUNTS], "revenue_cents")
+        .select(*[c for c in FACT_COLUMNS if c not in AMOUNTS], "revenue_cents", "category_name")
     )
 
 

@@ -100,7 +100,7 @@ def rfm_raw(star: Star, year: int, categories: Sequence[str] | None = None) -> D
 
 def _product_totals(star: Star, year: int, categories: Sequence[str] | None) -> DataFrame:
     totals = revenue_by(
-        sales(star, [year]), ["product_key"], F.sum("quantity").alias("quantity"))
+        sales(star, [year], categories), ["product_key"], F.sum("quantity").alias("quantity"))
     names = category_products(star, categories).select(
         "product_key", "product_name", "category_name")
     return totals.join(names, "product_key")

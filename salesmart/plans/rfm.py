@@ -43,7 +43,8 @@ def rfm_scores(raw: DataFrame, year: int) -> DataFrame:
 def segment_of(r: Column, f: Column) -> Column:
     """Segment of a score pair; a missing score falls to the middle segment."""
     return (
-        F.when((r <= 2) & (f <= 2), LOST)
+        F.when(r.isNull() | f.isNull(), POTENTIAL)
+        .when((r <= 2) & (f <= 2), LOST)
         .when((r <= 2) & (f >= 3), AT_RISK)
         .when(f == 1, NEW)
         .when((r == 5) & (f >= 4), CHAMPIONS)

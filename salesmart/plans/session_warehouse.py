@@ -16,14 +16,26 @@ from salesmart.sources.sinks import Star, open_warehouse
 from salesmart.sources.staging import work_folder
 from salesmart.sources.testdata import raw_tables
 
-_roots: dict[tuple[str, str], str] = {}
+_roots: dict[tuple, str] = {}
 _open: dict[str, tuple[SparkSession, Star]] = {}
 _building = threading.Lock()
 
 
+def _state(spark: SparkSession, folder: str) -> tuple:
+    """Paths, sizes and times of the files below a folder: another state is another build."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(context._jsc.hadoopConfiguration())
+    files, found = system.listFiles(path, True), []
+    while files.hasNext():
+        status = files.next()
+        found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def session_warehouse(spark: SparkSession, sf_dir: str) -> Star:
     """The star schema of a folder, bound to the given session and its settings."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), _state(spark, sf_dir))
     with _building:
         if key not in _roots:
             root = f"{work_folder(spark)}/warehouse-{uuid.uuid4().hex}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -12,10 +13,12 @@ from salesmart.functions.text import LABEL_LIMITS, label
 from salesmart.operators import keys
 from salesmart.operators.hierarchy import parent_name
 from salesmart.plans import dimensions, facts, marts, report, retention, rfm, targets
+from salesmart.plans.etl import run_etl
 from salesmart.plans.session_warehouse import session_warehouse
 from salesmart.sources import sinks, testdata
 from salesmart.sources.schemas import FACT_COLUMNS, FOREIGN_KEYS, schema
 from salesmart.sources.sinks import Star
+from salesmart.sources.staging import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -96,6 +99,64 @@ def lenient_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         cleaning.lenient_number("amount_text").alias("parsed_amount"))
 
 
+def lenient_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order's date, written in one of ten ways; the last is no date."""
+    day = F.col("o_orderdate").cast("timestamp")
+    shapes = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss'+00:00'", "MM/dd/yyyy hh:mm a", "MMM d, yyyy",
+              "d-MMM-yyyy", "M/d/yy", "yyyyMMdd", "yyyy/M/d H:mm", "MMMM d, yyyy"]
+    texts = F.array(*[F.date_format(day, shape) for shape in shapes], F.lit("not a date"))
+    source = testdata.table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.get(texts, F.pmod("o_orderkey", F.lit(10)).cast("int")).alias("day_text"))
+    return source.select("o_orderkey", cleaning.lenient_date(source, "day_text").alias("parsed_day"))
+
+
+def lenient_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fractions and wide whole numbers as text; a fraction is no whole number."""
+    odd = F.col("l_linenumber") % 2 == 1
+    part = F.col("l_partkey").cast("string")
+    text = testdata.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("orderid"), F.col("l_linenumber").alias("line"),
+        (F.col("l_quantity") + 0.5).cast("string").alias("quantity"),
+        (F.col("l_orderkey").cast("bigint") * 10_000_000_000).cast("string").alias("wide"),
+        F.concat(part, F.when(odd, ".5").otherwise(".0")).alias("code"))
+    read = cleaning.conform(text, schema(
+        "orderid bigint, line bigint, quantity double, wide bigint, code bigint"))
+    return _gaps_as_double(read, "code")
+
+
+def lines_with_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line revenue where a third of the prices and a third of the discounts are NaN."""
+    third = F.col("l_linenumber") % 3
+    nan = F.lit(float("nan"))
+    lines = testdata.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("orderid"), F.col("l_linenumber").alias("line"),
+        F.col("l_quantity").alias("quantity"),
+        F.when(third == 0, nan).otherwise(F.col("l_extendedprice") / F.col("l_quantity")).alias("unitprice"),
+        F.when(third == 1, nan).otherwise(F.col("l_discount")).alias("discount"))
+    cents = line_cents(F.col("quantity"), F.col("unitprice"), F.col("discount"))
+    return lines.select("orderid", "line", cents_to_double(cents).alias("total_sales"))
+
+
+def etl_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact by source ids, from a warehouse built in two loads, older orders first."""
+    raw = testdata.raw_tables(spark, sf_dir)
+    root = f"{work_folder(spark)}/appended-{uuid.uuid4().hex}"
+    older = F.col("orderdate") < "1995-01-01"
+    for number, part in enumerate((older, ~older)):
+        orders = raw["orders"].where(part)
+        lines = raw["order_details"].join(orders.select("orderid"), "orderid", "left_semi")
+        run_etl(spark, raw | {"orders": orders, "order_details": lines}, root,
+                "append" if number else "overwrite")
+    star = sinks.open_warehouse(spark, root)
+    fact = star.fact_sales
+    for dim, key, source in (("dim_customer", "customer_key", "customer_id"), ("dim_product", "product_key", "product_id"),
+                             ("dim_employee", "employee_key", "employee_id"), ("dim_shipper", "shipper_key", "shipper_id"),
+                             ("dim_date", "date_key", "full_date")):
+        fact = fact.join(getattr(star, dim).select(key, source), key)
+    return fact.select("order_id", "customer_id", "product_id", "employee_id", "shipper_id", "full_date",
+                       "quantity", "total_sales")
+
+
 def full_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = testdata.table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name",
@@ -170,12 +231,9 @@ def orphan_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     headers = testdata.table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("orderid"), "o_orderstatus")
-    # Only totals are asked for, so the lines of an order are added up before the join: an
-    # order with very many lines then is one row, and the aggregate is already laid out by order.
-    per_order = testdata.order_details(spark, sf_dir).groupBy("orderid").agg(
-        F.count("*").alias("lines"), F.sum("quantity").alias("quantity"))
-    return facts.order_lines(headers, per_order).groupBy("o_orderstatus").agg(
-        F.sum("lines").alias("line_count"), F.sum("quantity").alias("quantity"))
+    joined = facts.order_lines(headers, testdata.order_details(spark, sf_dir))
+    return joined.groupBy("o_orderstatus").agg(
+        F.count("*").alias("line_count"), F.sum("quantity").alias("quantity"))
 
 
 def date_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,6 +277,10 @@ RAW_QUERIES: dict[str, Query] = {
     "add_missing_columns": add_missing_columns,
     "fill_defaults": fill_defaults,
     "lenient_parse": lenient_parse,
+    "lenient_dates": lenient_dates,
+    "lenient_numbers": lenient_numbers,
+    "lines_with_nan": lines_with_nan,
+    "etl_append": etl_append,
     "full_name": full_name,
     "truncate_labels": truncate_labels,
     "line_revenue": line_revenue,

@@ -10,15 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from salesmart.functions.cleaning import conform
 from salesmart.sources.schemas import RAW_SCHEMAS, SOURCE_FILES
 
+#: Tables that grow with the business and have no free text.
+LINE_TABLES = ("orders", "order_details")
 
-def read_csv_table(spark: SparkSession, path: str, name: str, multi_line: bool = True) -> DataFrame:
+
+def read_csv_table(
+    spark: SparkSession, path: str, name: str, multi_line: bool | None = None
+) -> DataFrame:
     """One CSV table with a header, matched to its schema by column name.
 
     Every field is read as text (the header supplies the names, so no inference
     scan runs), null tokens are removed, and values are cast leniently.
-    ``multi_line`` allows quoted line breaks but makes a file unsplittable; pass
-    ``False`` for large files that have none.
+    ``multi_line`` allows quoted line breaks but makes a file unsplittable; by default only
+    the tables of LINE_TABLES, whose fields are codes, numbers and dates, are split.
     """
+    if multi_line is None:
+        multi_line = name not in LINE_TABLES
     text = (
         spark.read.option("header", True)
         .option("multiLine", multi_line)
@@ -38,7 +45,7 @@ def extract(
     folder: str,
     files: Mapping[str, str] = SOURCE_FILES,
     fmt: str = "csv",
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> dict[str, DataFrame]:
     """All raw tables of a folder; a missing file raises and stops the run."""
     tables = {}

@@ -23,11 +23,11 @@ RAW_SCHEMAS: dict[str, T.StructType] = {
         "orderid bigint, customerid string, employeeid bigint, orderdate string, "
         "shippeddate string, shipvia bigint, freight double"),
     "order_details": schema(
-        "orderid bigint, productid bigint, unitprice double, quantity int, discount double"),
+        "orderid bigint, productid bigint, unitprice double, quantity double, discount double"),
     "products": schema(
         "productid bigint, productname string, supplierid bigint, categoryid bigint, "
-        "quantityperunit string, unitprice double, unitsinstock int, "
-        "unitsonorder int, reorderlevel int, discontinued string"),
+        "quantityperunit string, unitprice double, unitsinstock double, "
+        "unitsonorder double, reorderlevel double, discontinued string"),
     "categories": schema("categoryid bigint, categoryname string, description string"),
     "customers": schema(
         "customerid string, companyname string, contactname string, "
@@ -51,6 +51,11 @@ SOURCE_FILES = {name: f"{name}.csv" for name in RAW_SCHEMAS}
 # Warehouse tables in load order, and the columns of the fact.
 DIMENSIONS = ("dim_shipper", "dim_customer", "dim_employee", "dim_product", "dim_date")
 FACT = "fact_sales"
+# Source id and surrogate key of each dimension; a date is its own key.
+DIMENSION_IDS = {
+    "dim_shipper": ("shipper_id", "shipper_key"), "dim_customer": ("customer_id", "customer_key"),
+    "dim_employee": ("employee_id", "employee_key"), "dim_product": ("product_id", "product_key"),
+    "dim_date": ("full_date", None)}
 STAR_TABLES = DIMENSIONS + (FACT,)
 
 # Columns each key lookup leaves on the fact; a line missing any of them is an orphan.

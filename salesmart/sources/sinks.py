@@ -61,6 +61,11 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(_table_path(root, name))
 
 
+def table_exists(spark: SparkSession, root: str, name: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_table_path(root, name))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def open_warehouse(spark: SparkSession, root: str) -> Star:
     return Star(**{name: read_table(spark, root, name) for name in STAR_TABLES})
 

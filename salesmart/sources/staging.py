@@ -6,30 +6,24 @@ every later read.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folder: str | None = None
-
-
 def work_folder(spark: SparkSession) -> str:
     """This application's part of the shared folder; it may go once the application ended."""
     return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    global _local_folder
+    """The folder named by ``spark.checkpoint.dir``, else one in the session's warehouse folder.
+
+    Both are reachable by the driver and all executors, whatever the master.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    if _local_folder is None:
-        _local_folder = tempfile.mkdtemp(prefix="salesmart-")
-    return _local_folder
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

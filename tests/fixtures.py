@@ -5,6 +5,7 @@ from __future__ import annotations
 from salesmart.functions.cleaning import conform
 from salesmart.sources.schemas import RAW_SCHEMAS
 
+# The headers are those of the source files; the rows are invented.
 TABLES = {
     "shippers": (["ShipperID", "CompanyName", "Phone"], [
         ("1", "Fast", "1-1"), ("2", "Slow", "NULL")]),
@@ -15,7 +16,7 @@ TABLES = {
         ("CC2", "Twin", "NULL", "N/A", "2"),
         ("DDD", "Delta ", "Peru", "East", "3")]),
     "employees": (["EmployeeID", "LastName", "FirstName", "BirthDate", "HireDate", "Salary"], [
-        ("1", "Stone", "Ann", "12/08/1948 0:00", "05/01/1992 0:00", "2954.55"),
+        ("1", "Stone", "Ann", "03/14/1961 0:00", "09/03/1990 0:00", "3107.25"),
         ("2", "Reed", "NULL", "bad", "1992-08-14", "n.a.")]),
     "categories": (["CategoryID", "CategoryName", "Description"], [
         ("1", "Drinks", "wet, cold"), ("2", "Chef's Choice", "dry")]),

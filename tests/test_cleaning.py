@@ -125,3 +125,32 @@ def test_calendar_against_pandas(spark):
         assert (row.day_of_week, row.day_name, row.week_of_year, row.is_weekend) == (
             t.dayofweek + 1, t.day_name(), t.isocalendar().week, t.dayofweek >= 5)
         assert row.is_holiday is False
+
+
+def test_date_texts_of_other_shapes(spark):
+    texts = {
+        "1996-01-05T00:00:00Z": 5, "1996-01-05 10:00:00+00:00": 5, "1996-01-05T23:00:00-0500": 5,
+        "1996-01-05 10:00 UTC": 5, "01/05/1996 10:00 AM": 5, "1/5/1996 1:30:15 pm": 5,
+        "01/05/1996 10:00AM": 5, "Jan 5, 1996": 5, "January 5, 1996": 5, "5-Jan-1996": 5,
+        "5 January 1996": 5, "5-jan-96": 5, "1/5/96": 5, "01/05/96 10:00": 5, " 1996-01-05 ": 5,
+        "Jan 5, 1996 10:00": 5, "Janx 5, 1996": None, "5-Foo-1996": None, "1996-01-05 99:99": None,
+        "13/45/1996": None, "Feb 30, 1996": None, "1/5/9": None, "soon": None,
+    }
+    df = spark.createDataFrame([(text,) for text in texts], "d string")
+    got = {r.d: r.day for r in df.select("d", cleaning.lenient_date(df, "d").alias("day")).collect()}
+    assert got == {text: day and datetime.date(1996, 1, day) for text, day in texts.items()}
+    years = spark.createDataFrame([("1/5/68",), ("1/5/69",)], "d string")
+    assert column(years.select(cleaning.lenient_date(years, "d").alias("d")), "d") == [
+        datetime.date(2068, 1, 5), datetime.date(1969, 1, 5)]
+
+
+def test_fractions_wide_numbers_and_nan(spark):
+    df = spark.createDataFrame([("2.5", "2.5", "4000000000"), ("3", "3.0", "NULL"), ("bad", "x", "1")],
+                               "quantity string, code string, wide string")
+    target = schema("quantity double, code bigint, wide bigint")
+    assert [tuple(r) for r in cleaning.conform(df, target).collect()] == [
+        (2.5, None, 4_000_000_000), (3.0, 3, None), (None, None, 1)]
+    counts = {r.column_name: r.unreadable_rows for r in cleaning.unreadable_values(df, target).collect()}
+    assert counts == {"quantity": 1, "code": 2, "wide": 0}
+    doubles = spark.createDataFrame([(float("nan"), 2.5), (1.5, 2.0)], "quantity double, code double")
+    assert [tuple(r)[:2] for r in cleaning.conform(doubles, target).collect()] == [(None, None), (1.5, 2)]

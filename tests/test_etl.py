@@ -25,10 +25,10 @@ def test_dim_customer(star):
 def test_dim_employee(star):
     got = rows_by(star.dim_employee, "employee_id")
     assert got[1].full_name == "Ann Stone" and got[2].full_name is None
-    assert got[1].birth_date == datetime.date(1948, 12, 8)
-    assert got[1].hire_date == datetime.date(1992, 5, 1)
+    assert got[1].birth_date == datetime.date(1961, 3, 14)
+    assert got[1].hire_date == datetime.date(1990, 9, 3)
     assert got[2].birth_date is None and got[2].hire_date == datetime.date(1992, 8, 14)
-    assert got[1].salary == 2954.55 and got[2].salary == 0.0
+    assert got[1].salary == 3107.25 and got[2].salary == 0.0
     assert got[1].reports_to_name == got[2].reports_to_name == "N/A"
 
 
@@ -64,7 +64,8 @@ def test_fact_keeps_resolved_lines_only(star):
     fact = star.fact_sales.collect()
     assert sorted({r.order_id for r in fact}) == [1, 2, 3, 4, 5, 6, 7, 8]
     assert len(fact) == 10
-    assert star.fact_sales.columns == [*FACT_COLUMNS, "revenue_cents", "order_year"]
+    assert star.fact_sales.columns == [
+        *FACT_COLUMNS, "revenue_cents", "category_name", "order_year"]
     third = sorted(r.total_sales for r in fact if r.order_id == 3)
     assert third == [Decimal("0.12"), Decimal("1.00"), Decimal("270.00")]
     assert all(r.revenue == r.total_sales == Decimal(r.revenue_cents) / 100 for r in fact)
@@ -83,7 +84,7 @@ def test_report_counts_orphans(spark, tmp_path):
     assert report.written == dict.fromkeys(STAR_TABLES, True)
 
 
-def test_rerun_and_append(spark, tmp_path):
+def test_rerun_leaves_the_same_tables(spark, tmp_path):
     raw = fixtures.raw_tables(spark)
 
     def counts():
@@ -98,6 +99,51 @@ def test_rerun_and_append(spark, tmp_path):
         "dim_date": 10, "fact_sales": 10}
 
 
+def test_append_keeps_keys_and_writes_each_line_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+    raw, root = fixtures.raw_tables(spark), str(tmp_path)
+    run_etl(spark, raw, root)
+    before = {n: set(df.collect()) for n, df in open_warehouse(spark, root).tables().items()}
+    run_etl(spark, raw, root, "append")
+    star = open_warehouse(spark, root)
+    for name in STAR_TABLES[:-1]:
+        assert set(getattr(star, name).collect()) == before[name]
+        assert getattr(star, name).count() == len(before[name])
+    assert star.fact_sales.count() == 20
+    assert set(star.fact_sales.collect()) == before["fact_sales"]
+
+    later = dict(raw)
+    later["customers"] = raw["customers"].limit(1).withColumns(
+        {"customerid": F.lit("NEW"), "companyname": F.lit("New")}).unionAll(
+        raw["customers"].filter("customerid = 'AAA'").withColumn("companyname", F.lit("Changed")))
+    later["employees"] = raw["employees"].filter("employeeid = 1").withColumns(
+        {"employeeid": F.lit(7).cast("bigint"), "reportsto": F.lit(1).cast("bigint")})
+    later["orders"] = raw["orders"].filter("orderid = 7").withColumns(
+        {"orderid": F.lit(50).cast("bigint"), "customerid": F.lit("NEW"),
+         "employeeid": F.lit(7).cast("bigint"), "orderdate": F.lit("1998-02-03")})
+    later["order_details"] = raw["order_details"].filter("orderid = 7").withColumn(
+        "orderid", F.lit(50).cast("bigint"))
+    report = run_etl(spark, later, root, "append")
+    assert report.joined_rows == report.kept_rows == 1
+    star = open_warehouse(spark, root)
+    customers = rows_by(star.dim_customer, "customer_id")
+    assert customers["NEW"].customer_key == 6 and customers["AAA"].company_name == "Alpha"
+    assert rows_by(star.dim_employee, "employee_id")[7].reports_to_name == "Ann Stone"
+    assert star.dim_date.filter("full_date = '1998-02-03'").count() == 1
+    new = star.fact_sales.filter("order_id = 50").collect()
+    assert len(new) == 1 and new[0].customer_key == 6 and new[0].total_sales == Decimal("2.00")
+
+
+def test_nan_means_missing(spark, tmp_path):
+    from pyspark.sql import functions as F
+    raw = fixtures.raw_tables(spark)
+    raw["order_details"] = raw["order_details"].withColumn(
+        "unitprice", F.when(F.col("orderid") == 7, float("nan")).otherwise(F.col("unitprice")))
+    run_etl(spark, raw, str(tmp_path))
+    fact = rows_by(open_warehouse(spark, str(tmp_path)).fact_sales, "order_id")
+    assert fact[7].total_sales is None and fact[8].total_sales == Decimal("50.00")
+
+
 def test_fact_is_partitioned_by_order_year(spark, tmp_path):
     run_etl(spark, fixtures.raw_tables(spark), str(tmp_path))
     years = sorted(p.name for p in (tmp_path / "fact_sales").iterdir() if p.is_dir())

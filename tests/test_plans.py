@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from salesmart.operators.hierarchy import parent_name
 from salesmart.plans import marts, retention, rfm
 from salesmart.plans.facts import build_fact_sales
 from salesmart.sources.schemas import RAW_SCHEMAS
@@ -75,3 +76,35 @@ def test_scores_use_no_global_window_over_customers(star):
     text = plan(rfm.rfm_scores(marts.rfm_raw(star, 1996), 1996))
     for window in re.findall(r"Window \[.*", text):
         assert "customer_name" not in window
+
+
+BY_CATEGORY = {
+    "trend": lambda s: marts.financial_trend(s, 1996, ["Drinks"]),
+    "retention": lambda s: retention.retention_rate(s, 1996, ["Drinks"]),
+    "clv": lambda s: marts.customer_clv(s, 1996, ["Drinks"]),
+    "geo": lambda s: marts.geo_performance(s, 1996, ["Drinks"]),
+    "rfm": lambda s: marts.rfm_raw(s, 1996, ["Drinks"]),
+}
+
+
+@pytest.fixture
+def no_broadcasts(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("name", BY_CATEGORY)
+def test_category_filter_reaches_the_scan(star, no_broadcasts, name):
+    text = plan(BY_CATEGORY[name](star))
+    assert "product_key" not in text
+    assert re.search(r"PushedFilters: \[[^\]]*category_name", text)
+
+
+def test_parents_of_many_can_be_split(spark, no_broadcasts):
+    people = spark.range(1000).selectExpr("id", "IF(id % 3 = 0, 1, id % 50) AS boss", "concat('n', id) AS name")
+    text = plan(parent_name(people, "id", "boss", "name", "id", "boss_name", "N/A"))
+    join = text[text.index("SortMergeJoin"):]
+    assert join.count("Exchange hashpartitioning(boss") == 2
+    assert "Aggregate" not in join

@@ -1,4 +1,5 @@
 import datetime
+from types import SimpleNamespace
 
 import fixtures
 import pytest
@@ -89,7 +90,19 @@ def test_stage_round_trip(spark):
     assert staging.stage(df.filter("a > 1"), "empty").collect() == []
 
 
-def test_shared_folder_follows_the_setting(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    if before:
-        assert staging.shared_folder(spark) == before.rstrip("/")
+def test_shared_folder_follows_the_setting():
+    def folder(**settings):
+        conf = SimpleNamespace(get=lambda key, default=None: settings.get(key.split(".")[-2], default))
+        return staging.shared_folder(SimpleNamespace(conf=conf))
+
+    assert folder(checkpoint="hdfs://x/work/", warehouse="file:/w") == "hdfs://x/work"
+    assert folder(warehouse="hdfs://x/warehouse") == "hdfs://x/warehouse/_staged"
+
+
+def test_lines_are_read_in_parts(spark, tmp_path):
+    assert set(readers.LINE_TABLES) == {"orders", "order_details"}
+    (tmp_path / "employees.csv").write_text('EmployeeID,Address\n1,"one\ntwo"\n')
+    assert readers.read_csv_table(spark, str(tmp_path / "employees.csv"), "employees").first().address == "one\ntwo"
+    fixtures.write_csv(tmp_path, "orders")
+    plan = readers.read_csv_table(spark, str(tmp_path / "orders.csv"), "orders")
+    assert plan.count() == len(fixtures.TABLES["orders"][1])
