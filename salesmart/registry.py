@@ -141,7 +141,7 @@ def etl_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact by source ids, from a warehouse built in two loads, older orders first."""
     raw = testdata.raw_tables(spark, sf_dir)
     root = f"{work_folder(spark)}/appended-{uuid.uuid4().hex}"
-    older = F.col("orderdate") < "1995-01-01"
+    older = F.year("orderdate") < YEAR
     for number, part in enumerate((older, ~older)):
         orders = raw["orders"].where(part)
         lines = raw["order_details"].join(orders.select("orderid"), "orderid", "left_semi")
