@@ -9,12 +9,13 @@ from __future__ import annotations
 import json
 import os
 import statistics
-import tempfile
 import time
+import uuid
 
 from salesmart.plans.etl import run_etl
 from salesmart.registry import QUERIES
 from salesmart.session import build_session
+from salesmart.sources.staging import work_folder
 from salesmart.sources.testdata import raw_tables
 
 
@@ -34,7 +35,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
 
     def build() -> None:
-        run_etl(spark, raw_tables(spark, sf_dir), tempfile.mkdtemp(prefix="bench-warehouse-"))
+        run_etl(spark, raw_tables(spark, sf_dir), f"{work_folder(spark)}/bench-{uuid.uuid4().hex}")
 
     first_build = timed(build)
     times = {"warehouse_build": timed(build)}
