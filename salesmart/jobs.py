@@ -21,7 +21,7 @@ from salesmart.session import build_session
 from salesmart.sources.readers import extract
 from salesmart.sources.schemas import SOURCE_FILES
 from salesmart.sources.sinks import open_warehouse
-from salesmart.sources.staging import stage
+from salesmart.sources.staging import stage, staged_tables
 
 
 def build(
@@ -58,7 +58,7 @@ def report_tables(
     year = marts.default_year(star) if year is None else year
     needed = ("financial_trend", "retention_rate", "product_performance", "customer_clv")
     return report.report_tables(
-        *[dashboard.kpi(star, kind, year, categories) for kind in needed],
+        *[stage(dashboard.kpi(star, kind, year, categories), kind) for kind in needed],
         monthly_target, retention_target)
 
 
@@ -87,16 +87,17 @@ def main(arguments: Sequence[str] | None = None) -> None:
 
     settings = {"spark.checkpoint.dir": args.work_folder} if args.work_folder else {}
     spark = build_session("salesmart", **settings)
-    if args.action == "build":
-        print(build(
-            spark, args.data, args.warehouse, args.format, args.mode,
-            False if args.single_line else None))
-        return
-    tables = page_tables if args.action == "dashboard" else report_tables
-    report.write_report(
-        tables(spark, args.warehouse, args.year, args.category, args.monthly_target,
-               args.retention_target),
-        args.out, args.format)
+    with staged_tables(spark):
+        if args.action == "build":
+            print(build(
+                spark, args.data, args.warehouse, args.format, args.mode,
+                False if args.single_line else None))
+            return
+        tables = page_tables if args.action == "dashboard" else report_tables
+        report.write_report(
+            tables(spark, args.warehouse, args.year, args.category, args.monthly_target,
+                   args.retention_target),
+            args.out, args.format)
 
 
 if __name__ == "__main__":

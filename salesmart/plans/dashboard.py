@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from salesmart.plans import marts, report, retention, rfm, targets
 from salesmart.sources.sinks import Star
+from salesmart.sources.staging import stage
 
 KPI_KINDS: dict[str, Callable[..., DataFrame]] = {
     "financial_trend": marts.financial_trend,
@@ -50,17 +51,22 @@ def dashboard_tables(
     monthly_target: float = targets.DEFAULT_MONTHLY_REVENUE,
     retention_target: float = targets.DEFAULT_RETENTION,
 ) -> dict[str, DataFrame]:
-    """Every table a page shows, for the newest year unless one is given."""
+    """Every table a page shows, for the newest year unless one is given.
+
+    Each mart is computed once and stored, and all tables are made from the stored marts: the
+    fact is read eight times, however many tables there are. Call this and write the tables
+    inside ``staged_tables`` to have the stored marts deleted after it.
+    """
     categories = selected(star, categories)
     if year is None:
         year = marts.default_year(star)
     if year is None:
         raise ValueError("the warehouse holds no dates")
-    page = {kind: kpi(star, kind, year, categories) for kind in KPI_KINDS}
+    page = {kind: stage(kpi(star, kind, year, categories), kind) for kind in KPI_KINDS}
     trend, rates = page["financial_trend"], page["retention_rate"]
     products, customers = page["product_performance"], page["customer_clv"]
-    before = kpi(star, "retention_rate", year - 1, categories)
-    segments = rfm.rfm_segments(page["rfm_raw_data"], year)
+    before = stage(kpi(star, "retention_rate", year - 1, categories), "retention_before")
+    segments = stage(rfm.rfm_segments(page["rfm_raw_data"], year), "segments")
     return page | {
         "scorecard": targets.kpi_scorecard(
             trend, rates, before, customers, products, monthly_target),

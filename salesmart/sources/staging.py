@@ -7,6 +7,8 @@ every later read.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +28,30 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def staged_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete what is staged inside once the results that read it are written."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        for path in paths:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame as Parquet in the shared folder and read it back."""
+    """Write a frame as Parquet in the shared folder and read it back.
+
+    Inside ``staged_tables`` it is deleted at the end, else with the application's folder.
+    """
     path = f"{work_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    for paths in _scopes:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

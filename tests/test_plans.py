@@ -1,12 +1,14 @@
 """Properties of the physical plans."""
 
+import os
 import re
 
 import pytest
 
 from salesmart.operators.hierarchy import parent_name
-from salesmart.plans import marts, retention, rfm
+from salesmart.plans import dashboard, marts, report, retention, rfm
 from salesmart.plans.facts import build_fact_sales
+from salesmart.sources import staging
 from salesmart.sources.schemas import RAW_SCHEMAS
 
 
@@ -108,3 +110,23 @@ def test_parents_of_many_can_be_split(spark, no_broadcasts):
     join = text[text.index("SortMergeJoin"):]
     assert join.count("Exchange hashpartitioning(boss") == 2
     assert "Aggregate" not in join
+
+
+def test_a_page_reads_the_fact_eight_times_and_leaves_nothing(spark, star, monkeypatch, tmp_path):
+    stored = []
+
+    def counted(df, label):
+        stored.append("order_year" in plan(df))
+        return staging.stage(df, label)
+
+    monkeypatch.setattr(dashboard, "stage", counted)
+    folder = staging.work_folder(spark).removeprefix("file:")
+    os.makedirs(folder, exist_ok=True)
+    before = set(os.listdir(folder))
+    with staging.staged_tables(spark):
+        tables = dashboard.dashboard_tables(star, year=1996)
+        report.write_report(tables, str(tmp_path))
+        assert not any("order_year" in plan(df) for df in tables.values())
+    assert sum(stored) <= 8
+    assert set(os.listdir(folder)) == before
+    assert spark.read.parquet(f"{tmp_path}/rfm_customer_table").count() == 3
