@@ -207,9 +207,9 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents in which no window of the benchmark occurs, all columns as they are."""
     hit = stage(search(docs, items).where("contaminated").select(
-        F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")), "contaminated")
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (
-        F.xxhash64("text") == F.col("hit_hash")), "left_anti")
+        F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash")), "contaminated")
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit_id")) & (
+        F.xxhash64("text") == F.col("_hit_hash")), "left_anti")
 
 
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}')"

@@ -226,8 +226,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents of which none like it has a smaller doc_id; null doc_ids all stay."""
     gone = near_duplicates(docs, size, percent).where("NOT kept").select(
-        F.col("doc_id").alias("gone_id"))
-    return docs.join(stage(gone, "duplicates"), F.col("doc_id") == F.col("gone_id"), "left_anti")
+        F.col("doc_id").alias("_gone_id"))
+    return docs.join(stage(gone, "duplicates"), F.col("doc_id") == F.col("_gone_id"), "left_anti")
 
 
 ORACLE = r"""

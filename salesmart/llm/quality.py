@@ -202,6 +202,11 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier calls good, all columns as they are."""
+    """The documents that the classifier calls good, all columns as they are.
+
+    Without labels of both classes there is nothing to judge by, and all stay.
+    """
     model = train(docs, labels)
+    if not model.weights.any():
+        return docs
     return docs.where(quality(docs, model) >= THRESHOLD)

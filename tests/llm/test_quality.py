@@ -68,7 +68,8 @@ def test_odd_rows(odd_docs, no_docs, labels):
     assert [row["score"] for row in rows] == [0.5] * odd_docs.count()
     assert not any(row["held_out"] for row in rows if row["doc_id"] is None)
     assert quality.score_documents(no_docs, labels).collect() == []
-    assert quality.keep_good(odd_docs, labels.limit(0)).columns == odd_docs.columns
+    kept = quality.keep_good(odd_docs, labels.limit(0))
+    assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()
 
 
 def test_labels_with_nulls_and_repeats(spark, sf_docs, labels):

@@ -28,6 +28,15 @@ def test_query_equals_sql(spark, name):
     assert got[1]
 
 
+@pytest.mark.parametrize("name, apply", corpus_pipeline.STAGES)
+def test_stages_take_any_rows(spark, odd_docs, no_docs, name, apply):
+    found = apply(spark, odd_docs, SF_DIR)
+    assert found.count() <= odd_docs.count()
+    assert apply(spark, no_docs, SF_DIR).collect() == []
+    if name != corpus_pipeline.STAGES[-1][0]:
+        assert found.columns == odd_docs.columns
+
+
 def test_pipeline_keeps_what_each_stage_decides(spark):
     """Every stage by its own brute force over what the one before kept."""
     from test_neardup import components
