@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import io
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -12,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from salesmart.llm import sharedfs
+from salesmart.sources.staging import work_folder
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -41,11 +43,13 @@ def ship_package(spark: SparkSession) -> None:
     if application in _shipped:
         return
     package = Path(__file__).resolve().parent.parent
-    archive = os.path.join(tempfile.mkdtemp(), f"{package.name}.zip")
+    archive = io.BytesIO()
     with zipfile.ZipFile(archive, "w") as out:
         for path in sorted(package.rglob("*.py")):
             out.write(path, path.relative_to(package.parent))
-    spark.sparkContext.addPyFile(archive)
+    folder = sharedfs.make_folder(f"{work_folder(spark)}/package")
+    sharedfs.write_bytes(f"{folder}/{package.name}.zip", archive.getvalue())
+    spark.sparkContext.addPyFile(f"{folder}/{package.name}.zip")
     _shipped.add(application)
 
 
