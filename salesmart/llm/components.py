@@ -7,10 +7,19 @@ from pyspark.sql import DataFrame, functions as F
 from salesmart.sources.staging import stage
 
 
+def _stored_least(edges: DataFrame) -> DataFrame:
+    """The least neighbour of each node.
+
+    Stored, it brings no layout of its own, so the join with the edges shuffles both sides and
+    adaptive execution can split a node with very many edges.
+    """
+    return stage(edges.groupBy("u").agg(F.min("v").alias("low")), "least")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node is tied to the least of the node and its neighbours."""
     both = edges.union(edges.select("v", "u")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.min("v").alias("low"))
+    least = _stored_least(both)
     return (both.join(least, "u").where("v > u")
             .select(F.col("v").alias("u"), F.least("u", "low").alias("v")).distinct())
 
@@ -18,7 +27,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every neighbour below a node, and the node, are tied to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("low"))
+    least = _stored_least(down)
     tied = (down.join(least, "u").where("v != low")
             .select(F.col("v").alias("u"), F.col("low").alias("v")))
     return tied.union(least.select("u", "low")).distinct()

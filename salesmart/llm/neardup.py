@@ -216,7 +216,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     marked = signed.select("doc_id", "n_shingles", "class").join(
         roots.select(F.col("node").alias("class"), "root"), "class", "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "class").alias("root"))
-    least = marked.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
+    # Stored, so that the join can split a component with very many documents.
+    least = stage(marked.where("root IS NOT NULL").groupBy("root").agg(
+        F.min("doc_id").alias("least")), "least")
     component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return marked.join(least, "root", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"),
