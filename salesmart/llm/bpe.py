@@ -20,8 +20,10 @@ from pyspark.sql import DataFrame, functions as F
 from salesmart.llm.common import map_rows
 from salesmart.llm.pretokens import pieces
 
-#: Entries of each worker's caches; a full cache is emptied, results do not depend on it.
-CACHE_ENTRIES = 1_000_000
+#: Entries of each worker's caches of pieces and of token pairs, some 250 bytes each; results
+#: do not depend on them.
+CACHE_ENTRIES = 300_000
+PAIR_ENTRIES = 150_000
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -74,7 +76,7 @@ class Vocabulary:
         """Whether ``right`` may directly follow ``left`` in an encoding."""
         holds = self._follows.get((left, right))
         if holds is None:
-            if len(self._follows) >= CACHE_ENTRIES:
+            if len(self._follows) >= PAIR_ENTRIES:
                 self._follows.clear()
             holds = self._follows[left, right] = self._seam_holds(left, right)
         return holds

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hashes each worker keeps; a full cache is renewed from the words in use.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 200_000
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
