@@ -1,10 +1,11 @@
 """Personal data by bootstrapped contextual extraction. DataFrame functions only.
 
 Seeds are the matches of strict patterns. The words before them induce contexts. Rounds score
-a graph of contexts and identifiers: a context is trusted for a kind if nearly all
-identifiers in it are known members of the kind, and an identifier in a trusted context that
-has the loose form of the kind becomes a member wherever it stands. What is found that way
-counts in the next round.
+a graph of contexts and identifiers: a context is trusted for a kind if its known members of
+the kind far outnumber what speaks against it, known members of other kinds and identifiers
+without the loose form of the kind. Identifiers of that form that are not known yet count
+neither way. They become members wherever they stand, and what is found that way counts in
+the next round.
 """
 
 from __future__ import annotations
@@ -41,9 +42,11 @@ BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 IDENTIFIER = r"(?<!\S)[^\s0-9@]*+[0-9@](?:\S*[A-Za-z0-9])?"
 #: Characters before an identifier in which its context, the last two words, is looked for.
 REACH = 60
-#: A trusted context holds so many different members, in so many documents, and so large a
-#: share of all identifiers in it.
+#: A trusted context holds so many different members, in so many different documents, and
+#: members are so large a share of them and of the identifiers that speak against the kind.
 SUPPORT, DOCUMENTS, TRUST = 5, 5, 0.9
+#: Binary logarithm of the size of the sketches that count documents; few are counted exactly.
+SKETCH = 8
 ROUNDS = 3
 #: Sums over arrays run in parts of this size, so that long arrays take linear time.
 PART = 256
@@ -146,31 +149,37 @@ def discover(found: DataFrame) -> DataFrame:
     words = found.select(*_KEY, F.explode("candidates").alias("m")).select(*_KEY, "m.*")
     forms = F.array(*[F.when(F.col("value").rlike(kind.loose), F.lit(number))
                       for number, kind in enumerate(KINDS)])
-    # One row per context and value, with how many documents it stands in.
+    # One row per context and value, with a sketch of the documents it stands in.
     mentions = stage(
         seeds.union(words).where("context IS NOT NULL").groupBy("context", "value", "kind").agg(
-            F.approx_count_distinct("text_hash").alias("documents")), "mentions")
+            F.hll_sketch_agg("text_hash", F.lit(SKETCH)).alias("documents")), "mentions")
     possible = mentions.where("kind < 0").select(
         "context", "value", F.explode(F.array_compact(forms)).alias("kind"))
-    known = mentions.where("kind >= 0").select("kind", "value").distinct()
-    if possible.isEmpty():
-        return known.limit(0)
     every = mentions.groupBy("context").agg(F.count_distinct("value").alias("all"))
-    learned = None
+    learned, size = None, 0
     for _ in range(ROUNDS):
-        members = mentions.where("kind >= 0").select("context", "value", "kind", "documents")
+        known = mentions.where("kind >= 0")
         if learned is not None:
-            members = members.union(mentions.where("kind < 0").drop("kind").join(
-                learned, "value").select("context", "value", "kind", "documents"))
-        trusted = members.groupBy("context", "kind").agg(
-            F.count_distinct("value").alias("members"), F.sum("documents").alias("documents")).where(
-            (F.col("members") >= SUPPORT) & (F.col("documents") >= DOCUMENTS)).join(
-            every, "context").where(F.col("members") >= TRUST * F.col("all")).select("context", "kind")
-        now = stage(possible.join(trusted, ["context", "kind"]).select("kind", "value").distinct(),
-                    "members")
-        if now.isEmpty() or (learned is not None and now.count() == learned.count()):
-            return now
-        learned = now
+            known = known.union(mentions.where("kind < 0").drop("kind").join(
+                learned, "value").select(*mentions.columns))
+        rich = known.groupBy("context", "kind").agg(
+            F.count_distinct("value").alias("members"),
+            F.hll_sketch_estimate(F.hll_union_agg("documents")).alias("documents")).where(
+            (F.col("members") >= SUPPORT) & (F.col("documents") >= DOCUMENTS))
+        undecided = possible.join(rich.select("context", "kind"), ["context", "kind"]).join(
+            known.select("context", "value"), ["context", "value"], "left_anti").groupBy(
+            "context", "kind").agg(F.count("*").alias("undecided"))
+        decided = F.col("all") - F.coalesce("undecided", F.lit(0))
+        trusted = rich.join(every, "context").join(
+            undecided, ["context", "kind"], "left").where(
+            F.col("members") >= TRUST * decided).select("context", "kind")
+        now = possible.join(trusted, ["context", "kind"]).select("kind", "value")
+        if learned is not None:
+            now = now.union(learned)
+        learned = stage(now.distinct(), "members")
+        before, size = size, learned.count()
+        if size == before:
+            break
     return learned
 
 

@@ -94,6 +94,36 @@ def test_contexts_reveal_unseen_members(spark):
     assert "[PHONE] at home" in pii.redact(docs).where("doc_id = 100").first()["text"]
 
 
+def spans_by_id(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return {row["doc_id"]: row["spans"] for row in pii.personal_data(docs).collect()}
+
+
+def test_half_of_a_context_is_unseen(spark):
+    seeds = [(i, f"letter: my phone is +1 555 123 45{i:02d} at home") for i in range(8)]
+    unseen = [(100 + i, f"please note my phone is 555-123-99{i:02d} at home") for i in range(8)]
+    spans = spans_by_id(spark, seeds + unseen)
+    for key, text in unseen:
+        assert spans[key] == f"phone:{text.index('555')}:{text.index(' at home')}"
+
+
+def test_what_speaks_against_a_context(spark):
+    seeds = [(i, f"the number is +1 555 123 45{i:02d} today") for i in range(8)]
+    unseen = [(100, "the number is 555-123-9999 today")]
+    text = unseen[0][1]
+    found = f"phone:{text.index('555')}:{text.index(' today')}"
+    assert spans_by_id(spark, seeds + unseen)[100] == found
+    formless = [(200, "the number is 4x today"), (201, "the number is 5x today")]
+    assert spans_by_id(spark, seeds + unseen + formless)[100] == ""
+    others = [(300, "the number is a@b.cc today"), (301, "the number is 1.2.3.4 today")]
+    assert spans_by_id(spark, seeds + unseen + others)[100] == ""
+    # Eight members, but all in one document and its copies.
+    one = " and ".join(text for _, text in seeds)
+    assert spans_by_id(spark, [(i, one) for i in range(8)] + unseen)[100] == ""
+    few = [(i, " and ".join(text for _, text in seeds[i::2])) for i in range(2)]
+    assert spans_by_id(spark, few + unseen)[100] == ""
+
+
 def test_redaction(spark, odd_docs, no_docs):
     docs = spark.createDataFrame(
         [(1, "mail a@b.cc and 4111 1111 1111 1111 é 1.2.3.4", 7), (2, "nothing", 8), (3, None, 9)],
