@@ -5,7 +5,7 @@ a graph of contexts and identifiers: a context is trusted for a kind if its know
 the kind far outnumber what speaks against it, known members of other kinds and identifiers
 without the loose form of the kind. Identifiers of that form that are not known yet count
 neither way. They become members wherever they stand, and what is found that way counts in
-the next round.
+the next round, until a round finds nothing new.
 """
 
 from __future__ import annotations
@@ -47,7 +47,6 @@ REACH = 60
 SUPPORT, DOCUMENTS, TRUST = 5, 5, 0.9
 #: Binary logarithm of the size of the sketches that count documents; few are counted exactly.
 SKETCH = 8
-ROUNDS = 3
 #: Sums over arrays run in parts of this size, so that long arrays take linear time.
 PART = 256
 
@@ -157,7 +156,8 @@ def discover(found: DataFrame) -> DataFrame:
         "context", "value", F.explode(F.array_compact(forms)).alias("kind"))
     every = mentions.groupBy("context").agg(F.count_distinct("value").alias("all"))
     learned, size = None, 0
-    for _ in range(ROUNDS):
+    # The members only grow and are identifiers of the texts, so this ends.
+    while True:
         known = mentions.where("kind >= 0")
         if learned is not None:
             known = known.union(mentions.where("kind < 0").drop("kind").join(
@@ -179,8 +179,7 @@ def discover(found: DataFrame) -> DataFrame:
         learned = stage(now.distinct(), "members")
         before, size = size, learned.count()
         if size == before:
-            break
-    return learned
+            return learned
 
 
 def _spans_of(found: DataFrame, members: DataFrame) -> DataFrame:

@@ -107,6 +107,19 @@ def test_half_of_a_context_is_unseen(spark):
         assert spans[key] == f"phone:{text.index('555')}:{text.index(' at home')}"
 
 
+def test_a_long_chain_of_contexts(spark):
+    names = "alpha bravo carol delta echo foxtrot golf".split()
+    rows = [(i, f"{names[0]} line is +1 555 123 45{i:02d} now") for i in range(6)]
+    for step, (here, there) in enumerate(zip(names, names[1:], strict=False)):
+        for i in range(6):
+            value = f"555-{step:03d}-77{i:02d}"
+            rows += [(100 * step + 100 + i, f"the {here} is {value} now") if step else
+                     (100 + i, f"{here} line is {value} now"),
+                     (100 * step + 150 + i, f"the {there} is {value} now")]
+    spans = spans_by_id(spark, rows)
+    assert all(spans[key].startswith("phone:") for key, _ in rows)
+
+
 def test_what_speaks_against_a_context(spark):
     seeds = [(i, f"the number is +1 555 123 45{i:02d} today") for i in range(8)]
     unseen = [(100, "the number is 555-123-9999 today")]
