@@ -33,7 +33,8 @@ BLOCK_SHINGLES = 150_000
 #: Columns of the incidence matrix multiplied at once.
 COLUMNS = 4096
 
-SIGNATURES = "doc_id bigint, n_shingles bigint, class binary, bands array<bigint>"
+SIGNATURES = ("doc_id bigint, text_hash bigint, n_shingles bigint, class binary, "
+              "bands array<bigint>")
 
 
 def _coefficients(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,18 +67,19 @@ def signatures(docs: DataFrame, size: int, rows: int = ROWS, bands: int = BANDS)
         factors, offsets = _coefficients(-(-rows * bands // 2))
 
         def work(source):
-            for doc_id, text in source:
+            for doc_id, text_hash, text in source:
                 shingles = shingle_set(hashes.of(plain_words(text)), size)
                 if not len(shingles):
-                    yield doc_id, 0, None, []
+                    yield doc_id, text_hash, 0, None, []
                     continue
                 values = signature(shingles, factors, offsets)[:rows * bands].reshape(bands, rows)
-                yield doc_id, len(shingles), class_of(shingles), [
+                yield doc_id, text_hash, len(shingles), class_of(shingles), [
                     xxhash.xxh64_intdigest(band.tobytes(), number) - (1 << 63)
                     for number, band in enumerate(values)]
         return work
 
-    return map_rows(docs.select(F.col("doc_id").cast("bigint"), "text"), SIGNATURES, make)
+    hashed = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text"), "text")
+    return map_rows(hashed, SIGNATURES, make)
 
 
 def coarse_groups(classes: DataFrame) -> DataFrame:
@@ -196,15 +198,10 @@ def confirmed_edges(docs: DataFrame, members: DataFrame, size: int, percent: int
     return map_rows(dealt, "u binary, v binary", lambda: lambda rows: _confirm(rows, percent))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs``.
+def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles and root, the group of near duplicates, of every row.
 
-    Documents whose sets of distinct ``size``-word shingles have a Jaccard similarity of
-    ``percent`` or more are linked; component_id is the smallest doc_id reachable and the
-    row that has it is kept. A null or empty text, or one without words, has no shingles and
-    is linked with nothing. Rows that repeat a doc_id are judged each by its text. A null
-    doc_id never is the smallest, unless its component has no other. Shingles are compared
-    as 64-bit hashes, sets of equal documents as 128-bit digests.
+    A row without shingles has no root.
     """
     signed = stage(signatures(docs, size), "signatures")
     classes = stage(signed.where("n_shingles > 0").groupBy("class").agg(
@@ -213,9 +210,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     members = coarse_groups(classes).join(
         classes.select("class", "doc_id", "n_shingles"), "class")
     roots = components(confirmed_edges(docs, members, size, percent))
-    marked = signed.select("doc_id", "n_shingles", "class").join(
+    return signed.select("doc_id", "text_hash", "n_shingles", "class").join(
         roots.select(F.col("node").alias("class"), "root"), "class", "left").select(
-        "doc_id", "n_shingles", F.coalesce("root", "class").alias("root"))
+        "doc_id", "text_hash", "n_shingles", F.coalesce("root", "class").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of ``docs``.
+
+    Documents whose sets of distinct ``size``-word shingles have a Jaccard similarity of
+    ``percent`` or more are linked; component_id is the smallest doc_id reachable and the
+    row that has it is kept. A null or empty text, or one without words, has no shingles and
+    is linked with nothing. Rows that repeat a doc_id are judged each by its text. A null
+    doc_id never is the smallest, unless its component has no other. Shingles are compared
+    as 64-bit hashes, sets of equal documents as 128-bit digests.
+    """
+    marked = grouped(docs, size, percent)
     # Stored, so that the join can split a component with very many documents.
     least = stage(marked.where("root IS NOT NULL").groupBy("root").agg(
         F.min("doc_id").alias("least")), "least")
@@ -226,10 +236,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of which none like it has a smaller doc_id; null doc_ids all stay."""
-    gone = near_duplicates(docs, size, percent).where("NOT kept").select(
-        F.col("doc_id").alias("_gone_id"))
-    return docs.join(stage(gone, "duplicates"), F.col("doc_id") == F.col("_gone_id"), "left_anti")
+    """One row of each group of near duplicates, and all rows that are in none.
+
+    Rows are told apart by doc_id and text. The row of the smallest doc_id stays, null after
+    all others; of different texts under it that of the smallest text hash; of rows equal in
+    both, any one. Rows without words are like nothing and all stay.
+    """
+    rows = stage(grouped(docs, size, percent).where("root IS NOT NULL").groupBy(
+        "root", "doc_id", "text_hash").agg(F.count("*").alias("copies")), "rows")
+    # Stored, so that the join can split a component with very many documents.
+    first = stage(rows.groupBy("root").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("first")), "first")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (
+        F.col("text_hash") == F.col("first.text_hash"))
+    taken = stage(rows.join(first, "root").select(
+        F.col("doc_id").alias("_row_id"), F.col("text_hash").alias("_row_hash"), "copies",
+        stays.alias("stays")).where("NOT stays OR copies > 1").drop("copies"), "duplicates")
+    same = F.col("doc_id").eqNullSafe(F.col("_row_id")) & (
+        F.xxhash64("text") == F.col("_row_hash"))
+    rest = docs.join(taken.drop("stays"), same, "left_anti")
+    repeated = taken.where("stays").drop("stays")
+    if repeated.isEmpty():
+        return rest
+    once = docs.join(repeated, same).dropDuplicates(["_row_id", "_row_hash"])
+    return rest.union(once.select(*docs.columns))
 
 
 ORACLE = r"""

@@ -110,6 +110,29 @@ def test_deduplicate_keeps_one_of_each(spark, sf_docs):
     assert kept == {key for key, root in want.items() if key == root}
 
 
+def test_deduplicate_judges_rows(spark):
+    story, other, third, fourth = (
+        " ".join(f"{name}{i}" for i in range(60)) for name in ("a", "b", "c", "d"))
+    rows = [
+        (1, story), (1, story), (1, story),  # equal rows
+        (2, other), (2, story + " end"), (2, "unique words under a repeated key"),
+        (None, third), (None, third), (None, third + " end"),  # no doc_id at all
+        (None, other), (9, fourth), (9, fourth + " end"), (None, fourth),
+        (5, ""), (5, ""), (None, None)]
+    docs = spark.createDataFrame([(*row, "en") for row in rows], "doc_id long, text string, lang string")
+    found = neardup.deduplicate(docs)
+    assert found.columns == docs.columns
+    kept = [(row["doc_id"], row["text"]) for row in found.collect()]
+    names = {key: [text for k, text in kept if k == key] for key in (1, 2, 5, 9, None)}
+    assert len(kept) == sum(map(len, names.values()))
+    assert names[1] == [story]
+    assert sorted(names[2]) == sorted([other, "unique words under a repeated key"])
+    assert names[5] == ["", ""]
+    assert len(names[9]) == 1 and names[9][0].startswith(fourth)
+    assert sorted(names[None], key=str)[0] is None and len(names[None]) == 2
+    assert any(text and text.startswith(third) for text in names[None])
+
+
 def test_signature_estimates_similarity():
     hashes = WordHashes()
     factors, offsets = neardup._coefficients(512)
