@@ -10,6 +10,7 @@ tokens before it. All files can be memory-mapped and opened at any document.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from functools import lru_cache
@@ -38,7 +39,13 @@ class PieceIds:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already fills the cores
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(token.single_word or token.lstrip or token.rstrip for token in added.values()):
+            raise ValueError(f"{path}: added tokens that depend on what is beside them")
+        self.added = {token.content: number for number, token in added.items()}
+        # The first place counts, and there the longest token.
+        longest = sorted(self.added, key=len, reverse=True)
+        self.marks = re.compile("|".join(map(re.escape, longest))) if longest else None
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
@@ -60,12 +67,25 @@ class PieceIds:
         self.known.update(zip(new, (tuple(item.ids) for item in encoded), strict=True))
 
     def encode(self, text: str) -> np.ndarray:
+        """The ids of a text without added tokens: their strings would be ordinary text."""
         ids: list[int] = []
         for run in pieces(text):
             self.learn(run)
             ids.extend(chain.from_iterable(map(self.known.__getitem__, run)))
         return np.array(ids, f"<u{self.width}")
 
+    def encode_whole(self, text: str) -> np.ndarray:
+        """The ids that the library gives the text; strings of added tokens are those tokens."""
+        if not self.marks or not self.marks.search(text):
+            return self.encode(text)
+        parts, at = [], 0
+        for found in self.marks.finditer(text):
+            parts.append(self.encode(text[at:found.start()]))
+            parts.append(np.array([self.added[found.group()]], f"<u{self.width}"))
+            at = found.end()
+        parts.append(self.encode(text[at:]))
+        return np.concatenate(parts)
+
 
 @lru_cache(maxsize=2)
 def piece_ids(path: str) -> PieceIds:
@@ -77,7 +97,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str)
 
     Documents are dealt by ranges of doc_id (then text), so one task holds a range, streams
     it to files named after the attempt, and only files of the attempt that ended well are
-    in the manifest. A null text is empty and has the end id alone; null doc_ids come first;
+    in the manifest. The string of an added token in a text becomes that token, as in the
+    library. A null text is empty and has the end id alone; null doc_ids come first;
     rows that repeat are all written.
     """
     sharedfs.make_folder(folder)
@@ -96,7 +117,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str)
             keys, offsets, nulls = [], [0], 0
             with sharedfs.open_output(f"{folder}/{name}.ids") as out:
                 for doc_id, text in chain([first], source):
-                    ids = np.append(encoder.encode(text or ""), end_id).astype(f"<u{encoder.width}")
+                    ids = np.append(encoder.encode_whole(text or ""), end_id).astype(f"<u{encoder.width}")
                     out.write(ids.tobytes())
                     offsets.append(offsets[-1] + len(ids))
                     nulls += doc_id is None

@@ -51,3 +51,19 @@ def test_a_full_cache_changes_nothing(monkeypatch):
     cache = tokenfiles.PieceIds(PATH)
     for text in ["the river changed its bed", "the people moved up the hill", "the river"] * 3:
         assert cache.encode(text).tolist() == expected([text])[0][:-1]
+
+
+def test_added_tokens_as_in_the_library(spark):
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|><|endoftext|> y  ", "<|endoftext|", "plain",
+             " lead<|endoftext|>\n\nthe river  <|endoftext|> é😀"]
+    plain = Tokenizer.from_file(PATH)
+    want = [plain.encode(text, add_special_tokens=False).ids for text in texts]
+    assert 50256 in want[0]
+    cache = tokenfiles.piece_ids(PATH)
+    assert [cache.encode_whole(text).tolist() for text in texts] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sorted(tokenfiles.round_trip(docs, PATH, 0).collect(), key=lambda row: row["doc_id"])
+    assert [row["n_tokens"] for row in rows] == [len(ids) + 1 for ids in want]
+    assert [row["ids_crc32"] for row in rows] == [
+        zlib.crc32(np.array([*ids, 0], "<u4").tobytes()) for ids in want]
+    assert [row["start"] for row in rows] == [sum(len(ids) + 1 for ids in want[:i]) for i in range(len(want))]
