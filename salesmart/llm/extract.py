@@ -23,8 +23,11 @@ from salesmart.llm.common import map_rows
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
-HIDDEN = frozenset("head script style noscript iframe template select option button input textarea title svg math object canvas audio video map datalist".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+HIDDEN = frozenset("head script style noscript iframe template select option button input textarea title annotation annotation-xml defs desc metadata canvas audio video map datalist".split())
+MATH = frozenset("math semantics annotation annotation-xml mrow mi mo mn ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts mstyle merror mpadded mphantom menclose mtable mtr mlabeledtr mtd maction".split())
+SHAPES_DRAWN = frozenset("path rect circle ellipse line polyline polygon use stop".split())
+VOID |= SHAPES_DRAWN
+INLINE = MATH | SHAPES_DRAWN | {"svg", "g", "tspan"} | frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ENDS_SIBLING = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -36,8 +39,10 @@ SCOPES = frozenset("html body article aside div footer form header main nav sect
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)(?P<close>>|\Z)"
-    r"|<(?P<cut>/?[a-zA-Z].*)\Z", re.S)
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)"
+    # Attributes. A quote opens a string only right after '=', and only if another closes it.
+    r"(?P<rest>(?:[\s/]++|(?:=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>]*+))?+)*+)"
+    r"(?P<close>>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 SPACE = re.compile(r"[ \t\n\r\f\v\xa0  -     　\x85]+")
 NAME_PART = re.compile(r"[a-z]+")

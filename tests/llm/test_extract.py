@@ -111,6 +111,33 @@ def test_damaged_pages():
     assert len(text_of(long)) == 2 + 5 * 100_000 - 1
 
 
+@pytest.mark.parametrize("tag", [
+    """<a href="x"">""", "<a title=it's>", "<a don't>", "<a '>", '<a ">', "<a href=x?q='>", """<a title="x"y='z'">""",
+    "<a href = 'x>y' title=\"a>b\">", "<a ==>", "<a = '>", "<a href=>", "<a / ='>"])
+@pytest.mark.parametrize("more", ["", "It's said.", 'A "word" here.'])
+def test_stray_quotes(tag, more):
+    page = f"<article><h1>T</h1><p>The river {tag}changed</a> its bed.</p><p>People moved. {more}</p></article>"
+    assert text_of(page) == f"T\nThe river changed its bed.\n{f'People moved. {more}'.strip()}"
+
+
+def test_an_open_string_ends_with_its_tag_if_no_quote_follows():
+    assert text_of("<article><h1>T</h1><p>one <a href='x>two</a> three.</p></article>") == "T\none two three."
+
+
+def test_many_quotes_take_linear_time():
+    for part in ("<a ='", "<a '", '<a ="\'', "<a x = ", "a='b"):
+        assert isinstance(text_of("<article><p>one</p>" + part * 50_000), str)
+
+
+def test_math_svg_and_objects_are_text():
+    page = ("<article><h1>T</h1><p>Here <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow>"
+            "<annotation encoding='application/x-tex'>x=2</annotation></semantics></math> holds.</p>"
+            "<p>The river changed its bed.</p><svg><title>no</title><path d='M0'/><text>Drawn words of the article.</text></svg>"
+            "<object><p>People moved, as the map shows.</p></object></article>")
+    assert text_of(page) == ("T\nHere x=2 holds.\nThe river changed its bed.\nDrawn words of the article.\n"
+                             "People moved, as the map shows.")
+
+
 def test_odd_rows(spark):
     rows = [(None, None, None, "t"), (1, "u", "", "t"), (1, "u", "", "t"), (2, None, "<article><p>The river.</p></article>", None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
