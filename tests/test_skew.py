@@ -10,7 +10,8 @@ import duckdb
 import pytest
 from compare import canonical, spark_rows, sql_rows
 
-from __spark_entry__ import oracle_sql, queries
+from salesmart.oracle import ORACLES
+from salesmart.registry import QUERIES
 
 SOURCE = "/root/testdata/sf0.001"
 
@@ -70,10 +71,10 @@ def shuffle_joins(spark):
         spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-@pytest.mark.parametrize("name", queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_sql(spark, shuffle_joins, skewed, name):
-    got = canonical(*spark_rows(queries()[name](spark, skewed)))
-    want = canonical(*sql_rows(skewed, oracle_sql()[name]))
+    got = canonical(*spark_rows(QUERIES[name](spark, skewed)))
+    want = canonical(*sql_rows(skewed, ORACLES[name]))
     assert got == want
     assert got[1]
 
