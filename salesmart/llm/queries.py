@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from salesmart.llm import (
-    ann, bpe, decontaminate, extract, katz, neardup, pii, quality, substrings, tokenfiles, urls)
+    ann, bpe, conversations, decontaminate, extract, katz, neardup, pii, quality, substrings,
+    tokenfiles, urls)
 from salesmart.llm.common import table
 
 
@@ -54,17 +55,23 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
 def op12_sketched_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), size=20)
 
 
 QUERIES = {query.__name__: query for query in [
     op1_bpe, op2_quality, op3_url_filter, op4_html_text, op5_pii, op6_token_files,
-    op7_multi_index, op8_decontaminate, op9_minmax_dedup, op10_katz, op12_sketched_repeats]}
+    op7_multi_index, op8_decontaminate, op9_minmax_dedup, op10_katz, op11_turn_repair,
+    op12_sketched_repeats]}
 
 ORACLES: dict[str, str] = {
     "op3_url_filter": urls.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
     "op9_minmax_dedup": neardup.ORACLE,
+    "op11_turn_repair": conversations.ORACLE,
     "op12_sketched_repeats": substrings.ORACLE,
 }
