@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from salesmart.llm import (
-    ann, bpe, conversations, decontaminate, extract, katz, neardup, pii, quality, substrings,
+    ann, bpe, conversations, decontaminate, extract, katz, neardup, pii, quality, spelling, substrings,
     tokenfiles, urls)
 from salesmart.llm.common import table
 
@@ -63,10 +63,14 @@ def op12_sketched_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), size=20)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {query.__name__: query for query in [
     op1_bpe, op2_quality, op3_url_filter, op4_html_text, op5_pii, op6_token_files,
     op7_multi_index, op8_decontaminate, op9_minmax_dedup, op10_katz, op11_turn_repair,
-    op12_sketched_repeats]}
+    op12_sketched_repeats, op13_spelling_variants]}
 
 ORACLES: dict[str, str] = {
     "op3_url_filter": urls.ORACLE,
@@ -74,4 +78,5 @@ ORACLES: dict[str, str] = {
     "op9_minmax_dedup": neardup.ORACLE,
     "op11_turn_repair": conversations.ORACLE,
     "op12_sketched_repeats": substrings.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }
