@@ -87,6 +87,16 @@ sales AS (
 """
 
 
+_EXTRACTED = """SELECT 'extract', 'orders', count(*) FROM orders
+  UNION ALL SELECT 'extract', 'order_details', count(*) FROM lineitem
+  UNION ALL SELECT 'extract', 'products', count(*) FROM part
+  UNION ALL SELECT 'extract', 'categories', count(DISTINCT p_type) FROM part
+  UNION ALL SELECT 'extract', 'customers', count(*) FROM customer
+  UNION ALL SELECT 'extract', 'employees', count(DISTINCT o_orderpriority) FROM orders
+  UNION ALL SELECT 'extract', 'shippers', count(*) FROM supplier
+  UNION ALL SELECT 'extract', 'suppliers', count(*) FROM supplier"""
+
+
 def _in_categories(use: bool) -> str:
     return f"AND category_name IN ({CATEGORIES})" if use else ""
 
@@ -280,6 +290,35 @@ SELECT f.order_id, c.customer_id, p.product_id, e.employee_id, s.shipper_id,
 FROM fact_sales f JOIN dim_customer c USING (customer_key) JOIN dim_product p USING (product_key)
 JOIN dim_employee e USING (employee_key) JOIN dim_shipper s USING (shipper_key)
 JOIN dim_date d USING (date_key)"""),
+    "etl_append_twice": _with("""
+SELECT CAST(date_key // 10000 AS INTEGER) AS order_year, count(*) AS line_count,
+       CAST(sum(quantity) AS BIGINT) AS quantity, CAST(sum(revenue) AS DOUBLE) AS total_sales
+FROM fact_sales GROUP BY date_key // 10000"""),
+    "load_ledger": _with(f"""
+parts AS (
+  SELECT CASE WHEN year(o_orderdate) < {YEAR} THEN 'older' ELSE 'newer' END AS load_id, o_orderkey
+  FROM orders WHERE o_orderdate IS NOT NULL
+)""", """
+SELECT load_id, 'transform' AS phase, 'order_lines' AS name, count(*) AS row_count
+FROM joined_lines JOIN parts ON order_id = o_orderkey GROUP BY load_id
+UNION ALL SELECT load_id, 'transform', 'fact_sales', count(*)
+FROM fact_sales JOIN parts ON order_id = o_orderkey GROUP BY load_id"""),
+    "load_audit": _with(f"""
+counts(phase, name, row_count) AS (
+  {_EXTRACTED}
+  UNION ALL SELECT 'transform', 'dim_shipper', count(*) FROM dim_shipper
+  UNION ALL SELECT 'transform', 'dim_customer', count(*) FROM dim_customer
+  UNION ALL SELECT 'transform', 'dim_employee', count(*) FROM dim_employee
+  UNION ALL SELECT 'transform', 'dim_product', count(*) FROM dim_product
+  UNION ALL SELECT 'transform', 'dim_date', count(*) FROM dim_date
+  UNION ALL SELECT 'transform', 'order_lines', count(*) FROM joined_lines
+  UNION ALL SELECT 'transform', 'fact_sales', count(*) FROM fact_sales
+  UNION ALL SELECT 'orphans', 'customer_key', count(*) - count(customer_key) FROM joined_lines
+  UNION ALL SELECT 'orphans', 'product_key', count(*) - count(product_key) FROM joined_lines
+  UNION ALL SELECT 'orphans', 'date_key', count(*) - count(date_key) FROM joined_lines
+  UNION ALL SELECT 'orphans', 'employee_key', count(*) - count(employee_key) FROM joined_lines
+  UNION ALL SELECT 'orphans', 'shipper_key', count(*) - count(shipper_key) FROM joined_lines
+)""", "SELECT 'all' AS load_id, phase, name, row_count FROM counts"),
     "full_name": """
 SELECT c_custkey,
        CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment END || ' ' || c_name AS full_name

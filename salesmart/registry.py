@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -14,11 +13,10 @@ from salesmart.operators import keys
 from salesmart.operators.hierarchy import parent_name
 from salesmart.plans import dimensions, facts, marts, report, retention, rfm, targets
 from salesmart.plans.etl import run_etl
-from salesmart.plans.session_warehouse import session_warehouse
+from salesmart.plans.session_warehouse import session_warehouse, warehouse_root
 from salesmart.sources import sinks, testdata
 from salesmart.sources.schemas import FACT_COLUMNS, FOREIGN_KEYS, schema
 from salesmart.sources.sinks import Star
-from salesmart.sources.staging import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -137,17 +135,20 @@ def lines_with_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("orderid", "line", cents_to_double(cents).alias("total_sales"))
 
 
-def etl_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fact by source ids, from a warehouse built in two loads, older orders first."""
+def build_in_two_loads(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """Older orders first, then the others appended; the second load is run twice."""
     raw = testdata.raw_tables(spark, sf_dir)
-    root = f"{work_folder(spark)}/appended-{uuid.uuid4().hex}"
     older = F.year("orderdate") < YEAR
-    for number, part in enumerate((older, ~older)):
+    for load_id, part, mode in (
+            ("older", older, "overwrite"), ("newer", ~older, "append"), ("newer", ~older, "append")):
         orders = raw["orders"].where(part)
         lines = raw["order_details"].join(orders.select("orderid"), "orderid", "left_semi")
-        run_etl(spark, raw | {"orders": orders, "order_details": lines}, root,
-                "append" if number else "overwrite")
-    star = sinks.open_warehouse(spark, root)
+        run_etl(spark, raw | {"orders": orders, "order_details": lines}, root, mode, load_id)
+
+
+def etl_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact by source ids, from a warehouse built in two loads, older orders first."""
+    star = session_warehouse(spark, sf_dir, build_in_two_loads)
     fact = star.fact_sales
     for dim, key, source in (("dim_customer", "customer_key", "customer_id"), ("dim_product", "product_key", "product_id"),
                              ("dim_employee", "employee_key", "employee_id"), ("dim_shipper", "shipper_key", "shipper_id"),
@@ -157,6 +158,26 @@ def etl_append(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "quantity", "total_sales")
 
 
+def etl_append_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and amounts by year where the load of the newer years was run twice."""
+    fact = session_warehouse(spark, sf_dir, build_in_two_loads).fact_sales
+    return fact.groupBy("order_year").agg(
+        F.count("*").alias("line_count"), F.sum("quantity").alias("quantity"),
+        cents_to_double(F.sum("revenue_cents")).alias("total_sales"))
+
+
+def load_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that every load of that warehouse joined and kept; a repeated load is there once."""
+    audit = sinks.read_table(
+        spark, warehouse_root(spark, sf_dir, build_in_two_loads), sinks.AUDIT)
+    return audit.where(F.col("name").isin("order_lines", "fact_sales"))
+
+
+def load_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the load read, wrote and lost, table by table and key by key."""
+    return sinks.read_table(spark, warehouse_root(spark, sf_dir), sinks.AUDIT)
+
+
 def full_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = testdata.table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name",
@@ -281,6 +302,9 @@ RAW_QUERIES: dict[str, Query] = {
     "lenient_numbers": lenient_numbers,
     "lines_with_nan": lines_with_nan,
     "etl_append": etl_append,
+    "etl_append_twice": etl_append_twice,
+    "load_ledger": load_ledger,
+    "load_audit": load_audit,
     "full_name": full_name,
     "truncate_labels": truncate_labels,
     "line_revenue": line_revenue,

@@ -8,8 +8,13 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from salesmart.sources import versions
 from salesmart.sources.schemas import FACT, STAR_TABLES
 
+#: The table of what every load read and wrote.
+AUDIT = "load_audit"
+AUDIT_SCHEMA = "load_id string, phase string, name string, row_count bigint"
+
 
 @dataclass(frozen=True)
 class Star:
@@ -31,43 +36,73 @@ class Star:
             df.createOrReplaceTempView(name)
 
 
-def _table_path(root: str, name: str) -> str:
-    return f"{root.rstrip('/')}/{name}"
+class Load:
+    """Tables written together: they become a version of the warehouse at once, or not at all.
 
+    ``overwrite`` starts from nothing, ``append`` from what the last version holds.
+    """
 
-def write_table(df: DataFrame, root: str, name: str, mode: str = "overwrite") -> None:
-    """Write one warehouse table; the fact is partitioned by order year.
+    def __init__(self, spark: SparkSession, root: str, mode: str = "overwrite"):
+        self.spark, self.root = spark, root
+        self.before = versions.manifest(spark, root)
+        self.appends = mode == "append"
+        self.attempt = versions.new_attempt()
+        self.tables = {name: list(attempts) for name, attempts in self.before.tables.items()} \
+            if self.appends else {}
 
-    Overwriting replaces the whole table whatever the session's partition
-    overwrite mode, so years that left the input leave the table.
-    """
-    writer = df.write.mode(mode).option("partitionOverwriteMode", "static")
-    if name == FACT:
-        writer = writer.partitionBy("order_year")
-    writer.parquet(_table_path(root, name))
+    def holds(self, name: str) -> bool:
+        return bool(self.tables.get(name))
+
+    def read(self, name: str) -> DataFrame:
+        """A table as this load leaves it, as far as it has come."""
+        return versions.read_attempts(self.spark, self.root, name, self.tables.get(name, []))
+
+    def write(self, df: DataFrame, name: str) -> None:
+        """Write rows of a table; the fact is partitioned by order year."""
+        writer = df.write
+        if name == FACT:
+            writer = writer.partitionBy("order_year")
+        writer.parquet(versions.attempt_path(self.root, name, self.attempt))
+        self.tables[name] = [*self.tables.get(name, []), self.attempt]
+
+    def written_rows(self, name: str) -> int:
+        """Rows this load wrote to a table; Parquet answers from its file footers."""
+        return versions.read_attempts(self.spark, self.root, name, [self.attempt]).count()
+
+    def publish(self, load_id: str | None = None, report: dict | None = None) -> int:
+        """Make what was written visible; returns the version's number."""
+        loads = dict(self.before.loads) if self.appends else {}
+        loads[load_id or self.attempt] = report or {}
+        return versions.publish(self.spark, self.root, self.before, self.tables, loads).version
 
 
 def load_table(
     df: DataFrame | None, root: str, name: str, mode: str = "overwrite"
 ) -> bool:
-    """Write a table unless there is nothing to write; tells whether it was written."""
+    """Write and publish one table unless there is nothing to write; tells whether it was written.
+
+    Other tables of the warehouse stay as they are.
+    """
     if df is None or df.isEmpty():
         return False
-    write_table(df, root, name, mode)
+    load = Load(df.sparkSession, root, "append")
+    if mode == "overwrite":
+        load.tables.pop(name, None)
+    load.write(df, name)
+    load.publish()
     return True
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(_table_path(root, name))
-
-
-def table_exists(spark: SparkSession, root: str, name: str) -> bool:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_table_path(root, name))
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    return versions.read_attempts(
+        spark, root, name, versions.manifest(spark, root).tables.get(name, []))
 
 
-def open_warehouse(spark: SparkSession, root: str) -> Star:
-    return Star(**{name: read_table(spark, root, name) for name in STAR_TABLES})
+def open_warehouse(spark: SparkSession, root: str, version: int | None = None) -> Star:
+    """All tables of one version, by default of the last one published."""
+    tables = versions.manifest(spark, root, version).tables
+    return Star(**{name: versions.read_attempts(spark, root, name, tables.get(name, []))
+                   for name in STAR_TABLES})
 
 
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
