@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from salesmart.operators.keys import number_rows
-from salesmart.operators.ranking import quintile
+from salesmart.operators.ranking import with_quintiles
 
 # Customer segments.
 CHAMPIONS = "Champions"
@@ -25,19 +24,13 @@ def rfm_recency(raw: DataFrame, year: int) -> DataFrame:
 def rfm_scores(raw: DataFrame, year: int) -> DataFrame:
     """Recency and frequency scores 1 (worst) to 5 (best).
 
-    Ranks are first-come within equal values, taken in customer-name order. A
-    value shared by very many customers is spread over tasks, since rows are
-    ranged by value and name together.
+    Ranks are first-come within equal values, taken in customer-name order. Where a value lies in
+    one bucket, its customers are not ordered at all.
     """
-    by_recency = number_rows(
-        rfm_recency(raw, year), ["recency", "customer_name"], "recency_rank")
-    by_frequency = number_rows(
-        by_recency, ["frequency", "customer_name"], "frequency_rank", total="customers")
-    n = F.col("customers")
-    return by_frequency.select(
-        *raw.columns, "recency",
-        (F.lit(6) - quintile(F.col("recency_rank"), n)).alias("r_score"),
-        quintile(F.col("frequency_rank"), n).alias("f_score"))
+    scored = with_quintiles(rfm_recency(raw, year), ["recency", "frequency"], "customer_name")
+    return scored.select(
+        *raw.columns, "recency", (F.lit(6) - F.col("recency_quintile")).alias("r_score"),
+        F.col("frequency_quintile").alias("f_score"))
 
 
 def segment_of(r: Column, f: Column) -> Column:
