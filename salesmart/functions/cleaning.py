@@ -29,6 +29,10 @@ DATE_FORMATS = {
     r"^\d{1,2} [A-Za-z]{3} ": "d MMM yyyy[ H:mm[:ss]]",
 }
 
+# The two commonest shapes, with times that exist; no year 0.
+ISO_DATE = r"^(?!0000)\d{4}-\d{1,2}-\d{1,2}$"
+US_DATE = r"^(\d{1,2})/(\d{1,2})/((?!0000)\d{4})(?: (?:[01]?\d|2[0-3]):[0-5]\d)?$"
+
 # Rewritings that bring a date text to one of the shapes above. Two-digit years
 # from 69 on are of the last century.
 DATE_REWRITES = (
@@ -124,23 +128,30 @@ def _plain_date_text(value: Column) -> Column:
     return value
 
 
+def _by_shape(plain: Column) -> Column:
+    """Date of a rewritten text; its shape picks the format, as a failed parse costs far more than a match."""
+    parsed = F.lit(None).cast("date")
+    for shape, pattern in reversed(DATE_FORMATS.items()):
+        parsed = F.when(plain.rlike(shape), F.try_to_date(plain, pattern)).otherwise(parsed)
+    return parsed
+
+
 def lenient_date(df: DataFrame, column: str) -> Column:
     """Date of a text, date or timestamp column; text no format accepts gives NULL.
 
-    The date is the one that is written, whatever zone follows it. The shape picks the format,
-    because a failed parse costs far more than a match; texts in the two commonest shapes are
-    not rewritten.
+    The date is the one that is written, whatever zone follows it. Texts in the two commonest
+    shapes are cast, and texts without a digit are no dates. Any other text is rewritten once:
+    as the variable of a function over one element, it is not computed anew in every branch.
     """
     value = F.col(column)
     if not isinstance(df.schema[column].dataType, T.StringType):
         return value.cast("date")
     trimmed = F.trim(value)
-    common = trimmed.rlike(r"^(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/\d{4}(?: \d{1,2}:\d{2})?)$")
-    plain = F.when(common, trimmed).otherwise(_plain_date_text(trimmed))
-    parsed = F.lit(None).cast("date")
-    for shape, pattern in reversed(DATE_FORMATS.items()):
-        parsed = F.when(plain.rlike(shape), F.try_to_date(plain, pattern)).otherwise(parsed)
-    return parsed
+    rewritten = F.transform(F.array(_plain_date_text(trimmed)), _by_shape)
+    return (
+        F.when(trimmed.rlike(ISO_DATE), trimmed.try_cast("date"))
+        .when(trimmed.rlike(US_DATE), F.regexp_replace(trimmed, US_DATE, "$3-$1-$2").try_cast("date"))
+        .when(trimmed.rlike(r"\d"), F.get(rewritten, F.lit(0))))
 
 
 def lenient_number(column: str) -> Column:
