@@ -36,7 +36,7 @@ FORM_FACTOR = 10
 #: One in so many runs of a document loses a code point.
 DAMAGE = 31
 #: Words and code points of a chunk, and words of a block that the number of groups aims at.
-CHUNK_WORDS, CHUNK_POINTS, BLOCK_WORDS = 1 << 15, 1 << 22, 1 << 15
+CHUNK_WORDS, CHUNK_POINTS, BLOCK_WORDS = 1 << 12, 1 << 20, 1 << 15
 #: Entries of a Gram matrix; larger pairs of parts are cut by one more letter.
 ENTRIES = 1 << 17
 #: Distinct words that a task counts before it sends them on.
