@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
 
@@ -14,6 +14,8 @@ import regex
 #: Texts up to this many characters are split at once, longer ones in runs of pieces.
 WHOLE_TEXT = 1 << 20
 RUN = 1 << 16
+#: Characters of the texts whose pieces are looked up together.
+BATCH_POINTS = 1 << 21
 
 # Characters the quick pattern knows. Below U+0250 letters and numbers come
 # from the character database; the two later ranges hold punctuation alone.
@@ -54,3 +56,22 @@ def pieces(text: str) -> Iterator[list[str]]:
     matches = (match.group() for match in pattern.finditer(text))
     while run := list(islice(matches, RUN)):
         yield run
+
+
+def batches(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
+    """Rows (key, text) in lists of bounded size; a long text is in a list of its own."""
+    held: list[tuple] = []
+    points = 0
+    for key, text in rows:
+        size = len(text or "")
+        if held and points + size > BATCH_POINTS or size > WHOLE_TEXT:
+            if held:
+                yield held
+            held, points = [], 0
+        held.append((key, text or ""))
+        points += size
+        if size > WHOLE_TEXT:
+            yield held
+            held, points = [], 0
+    if held:
+        yield held

@@ -72,3 +72,41 @@ def test_round_trip(spark, library, odd_docs, no_docs):
         joined = ",".join(map(str, row["ids"]))
         assert row["ids_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
     assert bpe.round_trip(no_docs, PATH).collect() == []
+
+
+def test_many_pieces_at_once_equal_one_by_one(library):
+    """Enough pieces for the arrays, of all lengths up to theirs and beyond, more than once."""
+    import random
+
+    draw = random.Random(1)
+    cache = bpe.PieceCache(bpe.encoder(PATH).vocabulary)
+    for _ in range(3):
+        texts = ["".join(draw.choice(["a", "e", "n", "th", "ing", "é", "日", "😀", "-", "x1", " "])
+                         for _ in range(draw.randrange(1, 30))) for _ in range(400)]
+        found = dict(bpe.encoded_runs(list(enumerate(texts)), cache))
+        for key, text in enumerate(texts):
+            assert [token for run in found[key] for token in run] == library.encode_ordinary(text)
+
+
+def test_full_caches_are_renewed(library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 300)
+    cache = bpe.PieceCache(bpe.encoder(PATH).vocabulary)
+    for number in range(20):
+        texts = [f"word{number}x{k} again{k} bed" for k in range(90)]
+        for key, runs in bpe.encoded_runs(list(enumerate(texts)), cache):
+            assert [token for run in runs for token in run] == library.encode_ordinary(texts[key])
+
+
+def test_pairs_by_arrays_equal_pairs_by_objects():
+    import numpy as np
+
+    vocabulary = bpe.encoder(PATH).vocabulary
+    arrays = bpe.encoder(PATH).arrays
+    random = np.random.default_rng(5)
+    made = np.flatnonzero(arrays.made)
+    common = made[made < 2000]
+    left, right = random.choice(common, 3000), random.choice(common, 3000)
+    holds = arrays.follow(left, right)
+    assert holds.tolist() == [vocabulary.follows(a, b) for a, b in zip(left.tolist(), right.tolist())]
+    assert arrays.follow(left, right).tolist() == holds.tolist()
+    assert 0 < holds.sum() < len(holds)
