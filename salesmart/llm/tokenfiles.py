@@ -13,6 +13,7 @@ import os
 import re
 import uuid
 import zlib
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -23,11 +24,13 @@ from tokenizers import Tokenizer
 
 from salesmart.llm import sharedfs
 from salesmart.llm.common import map_rows
-from salesmart.llm.pretokens import pieces
+from salesmart.llm.pretokens import WHOLE_TEXT, batches, pieces
 from salesmart.sources.staging import stage, work_folder
 
 #: Pieces whose ids each worker keeps; a full cache is renewed from the pieces in use.
 CACHE_ENTRIES = 1_000_000
+#: Pieces that the library encodes at once.
+PART = 20_000
 
 MANIFEST = ("partition int, name string, width int, nulls bigint, docs bigint, tokens bigint")
 READ = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
@@ -47,15 +50,16 @@ class PieceIds:
         longest = sorted(self.added, key=len, reverse=True)
         self.marks = re.compile("|".join(map(re.escape, longest))) if longest else None
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def learn(self, run: list[str]) -> None:
+    def learn(self, runs: list[list[str]]) -> None:
         """Encode the pieces that are not known yet, all at once."""
-        fresh = [piece for piece in set(run) if piece not in self.known]
+        used = set().union(*runs)
+        fresh = used.difference(self.known)
         if len(self.known) + len(fresh) > CACHE_ENTRIES // 2:
             self.older, self.known = self.known, {}
-            fresh = set(run)
+            fresh = used
         new = []
         for piece in fresh:
             ids = self.older.get(piece)
@@ -63,28 +67,62 @@ class PieceIds:
                 new.append(piece)
             else:
                 self.known[piece] = ids
-        encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.known.update(zip(new, (tuple(item.ids) for item in encoded), strict=True))
+        # In parts, as the library's results take far more room than the ids.
+        for start in range(0, len(new), PART):
+            part = new[start:start + PART]
+            found = [item.ids for item in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            data = np.fromiter(chain.from_iterable(found), f"<u{self.width}").tobytes()
+            end = 0
+            for piece, ids in zip(part, found, strict=True):
+                begin, end = end, end + self.width * len(ids)
+                self.known[piece] = data[begin:end]
+
+    def split(self, text: str) -> Iterator[list[str] | int]:
+        """Runs of pieces, and the ids of added tokens whose strings stand between them."""
+        at = 0
+        for found in self.marks.finditer(text) if self.marks else ():
+            yield from pieces(text[at:found.start()])
+            yield self.added[found.group()]
+            at = found.end()
+        yield from pieces(text[at:] if at else text)
+
+    def packed(self, parts: Iterable[list[str] | int]) -> Iterator[bytes]:
+        """Ids of known pieces, as they stand in the files."""
+        for part in parts:
+            if isinstance(part, int):
+                yield part.to_bytes(self.width, "little")
+            else:
+                yield b"".join(map(self.known.__getitem__, part))
+
+    def encode_all(self, rows: Iterable[tuple[int | None, str | None]]) -> Iterator[tuple[int | None, Iterable[bytes]]]:
+        """Key and packed ids of each row, as the library encodes the text.
+
+        The new pieces of rows of a bounded size are learned together, those of a long text run
+        by run.
+        """
+        for batch in batches(rows):
+            if len(batch[0][1]) > WHOLE_TEXT:
+                [(key, text)] = batch
+                yield key, self.streamed(self.split(text))
+                continue
+            parts = [(key, list(self.split(text))) for key, text in batch]
+            self.learn([run for _, runs in parts for run in runs if not isinstance(run, int)])
+            for key, runs in parts:
+                yield key, self.packed(runs)
+
+    def streamed(self, parts: Iterable[list[str] | int]) -> Iterator[bytes]:
+        for part in parts:
+            if not isinstance(part, int):
+                self.learn([part])
+            yield from self.packed([part])
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text without added tokens: their strings would be ordinary text."""
-        ids: list[int] = []
-        for run in pieces(text):
-            self.learn(run)
-            ids.extend(chain.from_iterable(map(self.known.__getitem__, run)))
-        return np.array(ids, f"<u{self.width}")
+        return np.frombuffer(b"".join(self.streamed(pieces(text))), f"<u{self.width}")
 
     def encode_whole(self, text: str) -> np.ndarray:
         """The ids that the library gives the text; strings of added tokens are those tokens."""
-        if not self.marks or not self.marks.search(text):
-            return self.encode(text)
-        parts, at = [], 0
-        for found in self.marks.finditer(text):
-            parts.append(self.encode(text[at:found.start()]))
-            parts.append(np.array([self.added[found.group()]], f"<u{self.width}"))
-            at = found.end()
-        parts.append(self.encode(text[at:]))
-        return np.concatenate(parts)
+        return np.frombuffer(b"".join(self.streamed(self.split(text))), f"<u{self.width}")
 
 
 @lru_cache(maxsize=2)
@@ -116,10 +154,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str)
             name = f"part-{partition:06d}-{uuid.uuid4().hex[:12]}"
             keys, offsets, nulls = [], [0], 0
             with sharedfs.open_output(f"{folder}/{name}.ids") as out:
-                for doc_id, text in chain([first], source):
-                    ids = np.append(encoder.encode_whole(text or ""), end_id).astype(f"<u{encoder.width}")
-                    out.write(ids.tobytes())
-                    offsets.append(offsets[-1] + len(ids))
+                for doc_id, parts in encoder.encode_all(chain([first], source)):
+                    size = 0
+                    for data in parts:
+                        out.write(data)
+                        size += len(data)
+                    out.write(end_id.to_bytes(encoder.width, "little"))
+                    offsets.append(offsets[-1] + size // encoder.width + 1)
                     nulls += doc_id is None
                     keys.append(doc_id or 0)
             sharedfs.write_bytes(f"{folder}/{name}.offsets", np.array(offsets, "<u8").tobytes())
