@@ -87,3 +87,57 @@ def test_probing_finds_every_code_within_the_radius():
         want = np.flatnonzero(ann.hamming(codes, codes[0]) <= radius)
         assert index.within(codes[0], radius).tolist() == want.tolist()
     assert len(index.candidates(codes[200], 0, 6)) >= 6
+
+
+def test_every_length_is_searched(spark, monkeypatch):
+    """Lengths of few and of many vectors, each among itself; one vec_id may have several vectors."""
+    monkeypatch.setattr(ann, "FEW_ROWS", 60)
+    monkeypatch.setattr(ann, "SHARD_ROWS", 50)
+    draw = np.random.default_rng(4)
+    rows = {length: [(key, draw.normal(size=length).astype(np.float32)) for key in range(count)]
+            for length, count in ((3, 200), (8, 150), (5, 40), (2, 7), (9, 1))}
+    got = {}
+    df = frame(spark, [row for some in rows.values() for row in some])
+    for row in ann.nearest(df).collect():
+        got.setdefault(row["query_id"], []).append((row["vec_id"], row["score"]))
+    for query in (0, 50, 100, 150):
+        scores = []
+        for some in rows.values():
+            if query < len(some):
+                vector = some[query][1].astype(np.float64)
+                for key, other in some:
+                    other = other.astype(np.float64)
+                    if key != query:
+                        scores.append((key, vector @ other / np.linalg.norm(vector) / np.linalg.norm(other)))
+        best = sorted(scores, key=lambda pair: (-pair[1], pair[0]))[:5]
+        assert len(got[query]) == 5
+        assert len({key for key, _ in got[query]} & {key for key, _ in best}) >= 4
+
+
+def test_tiny_and_huge_components(spark):
+    draw = np.random.default_rng(6)
+    base = draw.normal(size=(120, 4))
+    sizes = [1e-170, 1.0, 1e160, 1e-300, 1e300, 5e-320]
+    schema = "vec_id long, embedding array<double>"
+    rows = [(key, (base[key] * sizes[key % 5]).tolist()) for key in range(120)]
+    got = found(ann.nearest(spark.createDataFrame(rows, schema)))
+    want = exact([(key, vector.tolist()) for key, vector in enumerate(base)], 5, 50)
+    assert {q: [i for i, _ in near] for q, near in got.items()} == {
+        q: [i for i, _ in near] for q, near in want.items()}
+    for query, near in got.items():
+        for (_, score), (_, other) in zip(near, want[query], strict=True):
+            assert score == pytest.approx(other, abs=1e-12)
+    tiny = spark.createDataFrame([(0, [5e-324, 0.0]), (1, [1e-320, 0.0])], schema)
+    assert found(ann.nearest(tiny)) == {0: [(1, pytest.approx(1.0))]}
+
+
+def test_only_names_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD_ROWS", 100)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 3)
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    units = []
+    search = ann.map_rows
+    monkeypatch.setattr(ann, "map_rows", lambda rows, *rest, **more: (
+        units.append(rows.columns), search(rows, *rest, **more))[1])
+    assert ann.nearest(df).count() == 200
+    assert ["block", "file"] in units
