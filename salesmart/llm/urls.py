@@ -35,6 +35,8 @@ RULES = [
 BLOCKED_NAMES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
 BLOCKED_HOSTS = [f"{name}.example.{top}" for name in BLOCKED_NAMES for top in ("com", "net", "org")]
 
+#: Stands between host and path of a rule's key; neither a url's host nor its path can hold it.
+MARK = "?"
 #: Probe strings looked up at once.
 PROBES = 1 << 16
 
@@ -170,10 +172,11 @@ def judge(pages: DataFrame, rules: DataFrame, blocked: DataFrame, bits: int = 4)
 
     ``rules`` has host, path and verdict, ``blocked`` has host. A rule fits its host and all
     subdomains where the url's path starts with the rule's path; of two rules as long, that
-    of the longer host wins. A null url or one without ``://`` has an empty host and path
+    of the longer host wins; an empty or null path is the whole host. A null url or one without ``://`` has an empty host and path
     and is allowed; repeated rows are judged each; other columns of ``pages`` are ignored.
     """
     spark = pages.sparkSession
+    rules = rules.select(*[F.coalesce(name, F.lit("")).alias(name) for name in ("host", "path", "verdict")])
     shape = rules.agg(
         F.max(F.length("host")).alias("host"),
         F.sort_array(F.collect_set(F.length("path"))).alias("paths")).first()
@@ -181,7 +184,7 @@ def judge(pages: DataFrame, rules: DataFrame, blocked: DataFrame, bits: int = 4)
     widest = blocked.agg(F.max(F.length("host"))).first()[0] or 0
     folder = f"{work_folder(spark)}/urls-{uuid.uuid4().hex}"
     rule_index = build_index(rules.select(
-        F.concat("host", "path").alias("key"),
+        F.concat("host", F.lit(MARK), "path").alias("key"),
         (F.col("verdict") == BLOCK).cast("tinyint").alias("value")), f"{folder}/rules", bits)
     block_index = build_index(blocked.select(
         F.col("host").alias("key"), F.lit(1).cast("tinyint").alias("value")),
@@ -194,14 +197,14 @@ def judge(pages: DataFrame, rules: DataFrame, blocked: DataFrame, bits: int = 4)
             for suffix in host_suffixes(host, longest):
                 for length in lengths:
                     if length <= len(path):
-                        yield suffix + path[:length]
+                        yield suffix + MARK + path[:length]
 
         def answer(waiting):
             wanted = [probe for *_, candidates, _ in waiting for probe in candidates]
             values = iter(rule_keys.find(wanted))
             hosts = iter(block_keys.find([s for *_, suffixes in waiting for s in suffixes]))
             for page_id, host, path, candidates, suffixes in waiting:
-                fits = [(len(rule), rule.index("/"), rule, value)
+                fits = [(len(rule), rule.index(MARK), rule.replace(MARK, "", 1), value)
                         for rule in candidates if (value := next(values)) is not None]
                 listed = any([next(hosts) is not None for _ in suffixes])
                 rule, value = max(fits)[2:] if fits else (None, int(listed))

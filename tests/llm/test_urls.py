@@ -53,3 +53,19 @@ def test_index_confirms_keys(spark, tmp_path, monkeypatch, bits):
     real = urls.digest
     monkeypatch.setattr(urls, "digest", lambda key: real("host5.example") if key == "other" else real(key))
     assert urls.DigestIndex(folder).find(["other", "host5.example"]) == [None, 5]
+
+
+def test_rules_of_any_shape(spark):
+    """Rules for whole hosts, and hosts and paths that read alike when put together."""
+    pages = spark.createDataFrame([
+        (1, "http://a.org/x"), (2, "http://a.org"), (3, "http://ab/c"), (4, "http://a/b/c"), (5, "http://z.ab/c"),
+        (6, "http://q/"), (7, "no url")], "page_id long, url string")
+    rules = spark.createDataFrame([
+        ("a.org", "", "block"), ("a.org", "/x", "allow"), ("ab", "/", "block"), ("a", "/b/", "allow"),
+        ("q", None, "block"), ("", "", "block"), (None, None, "block"), ("a", "b/", "block")],
+        "host string, path string, verdict string")
+    found = {row["page_id"]: (row["rule"], row["verdict"])
+             for row in urls.judge(pages, rules, urls.default_rules(spark)[1]).collect()}
+    assert found == {
+        1: ("a.org/x", "allow"), 2: ("a.org", "block"), 3: ("ab/", "block"), 4: ("a/b/", "allow"),
+        5: ("ab/", "block"), 6: ("q", "block"), 7: (None, "allow")}
