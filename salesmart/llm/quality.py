@@ -16,16 +16,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from salesmart.llm.common import key_remainder, map_rows, ship_package
+from salesmart.sources.staging import stage
 
 #: Buckets of hashed words; a power of two. Statistics stand behind them.
 BUCKETS = 1 << 16
 #: Factors per feature.
 FACTORS = 4
-#: Bound of the training sample: labelled rows, those of the smallest key hashes.
-SAMPLE_ROWS = 8000
+#: Bounds of the training sample: labelled rows, those of the smallest key hashes, and their
+#: features together, 8 bytes each. A text has at most BUCKETS + STATISTICS.
+SAMPLE_ROWS, SAMPLE_FEATURES = 8000, 8_000_000
 #: Length of a text's word features together, against statistics of up to 1.
 WORD_LENGTH = 0.3
 EPOCHS = 6
@@ -103,6 +105,18 @@ def raw_score(model: Model, numbers: np.ndarray, values: np.ndarray) -> tuple[fl
     return model.bias + float(model.weights[numbers] @ values) + pairs, sums
 
 
+def raw_scores(model: Model, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The scores of many rows: one sparse matrix, summed row by row. No row is without features."""
+    if not rows:
+        return np.empty(0)
+    starts = np.cumsum([0, *(len(numbers) for numbers, _ in rows[:-1])])
+    numbers, values = (np.concatenate(side) for side in zip(*rows, strict=True))
+    scaled = model.factors[numbers] * values[:, None]
+    sums = np.add.reduceat(scaled, starts)
+    pairs = 0.5 * (sums * sums - np.add.reduceat(scaled * scaled, starts)).sum(axis=1, dtype=np.float64)
+    return model.bias + np.add.reduceat(model.weights[numbers] * values, starts).astype(np.float64) + pairs
+
+
 def logistic(value: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(value, -30, 30))))
 
@@ -141,11 +155,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
     return Model(bias, weights, factors)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
+          sample_features: int = SAMPLE_FEATURES) -> Model:
     """Fit on a bounded sample of the labelled documents that are not held out.
 
-    Features are made on the executors; at most ``sample_rows`` of them come back. Labels
-    without a doc_id or quality are left out; of a doc_id labelled twice the lower counts.
+    Features are made on the executors; at most ``sample_rows`` rows and ``sample_features``
+    features come back, in one order whatever the layout of the tables. Labels without a doc_id or
+    quality are left out; of a doc_id labelled twice the lower counts. Rows equal in doc_id and
+    text count once.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(
         F.col("doc_id").cast("bigint").alias("label_id")).agg(F.min("quality").alias("quality"))
@@ -154,19 +171,25 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     # At most sample_rows pairs of numbers: a proven bound.
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(
         F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select(
-        "doc_id", "text", F.col("quality").cast("int"))
+        "doc_id", F.xxhash64("text").alias("text_hash"), "text", F.col("quality").cast("int"))
 
     def make():
         def work(source):
-            for doc_id, text, label in source:
+            for doc_id, text_hash, text, label in source:
                 numbers, values = features(text)
-                yield doc_id, numbers.tobytes(), values.tobytes(), label
+                yield doc_id, text_hash, numbers.tobytes(), values.tobytes(), label, len(numbers)
         return work
 
-    found = map_rows(
-        rows, "doc_id bigint, numbers binary, amounts binary, label int", make).limit(
-        2 * sample_rows).collect()
-    found.sort(key=lambda row: (row["doc_id"], bytes(row["numbers"])))
+    made = stage(map_rows(
+        rows.dropDuplicates(["doc_id", "text_hash"]), "doc_id bigint, text_hash bigint, numbers binary, "
+        "amounts binary, label int, size int", make), "labelled")
+    # The window sees two times sample_rows small rows at most, and the features stay where they are.
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text_hash")]
+    first = made.select("doc_id", "text_hash", "size").orderBy(*order).limit(2 * sample_rows)
+    within = first.withColumn("total", F.sum("size").over(Window.orderBy(*order))).where(
+        F.col("total") <= sample_features).select("doc_id", "text_hash")
+    found = made.join(within, ["doc_id", "text_hash"], "left_semi").orderBy(
+        "doc_id", "text_hash").select("numbers", "amounts", "label").collect()
     return fit([(np.frombuffer(row["numbers"], np.int32), np.frombuffer(row["amounts"], np.float32),
                  row["label"]) for row in found])
 
@@ -176,7 +199,7 @@ def scorer(model: Model):
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([logistic(raw_score(model, *features(text))[0]) for text in texts],
+            yield pd.Series(list(map(logistic, raw_scores(model, list(map(features, texts))))),
                             dtype="float64")
     return score
 

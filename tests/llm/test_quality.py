@@ -75,3 +75,23 @@ def test_odd_rows(odd_docs, no_docs, labels):
 def test_labels_with_nulls_and_repeats(spark, sf_docs, labels):
     more = labels.union(spark.createDataFrame([(None, 1, 0), (3, None, 0)], labels.schema)).union(labels)
     assert quality.score_documents(sf_docs, more).count() == sf_docs.count()
+
+
+def test_a_batch_scores_as_each_row(model):
+    texts = ["", "The river changed.", "A A A\n1 | 2 | 3\n" * 50, "x", " "] * 3 + ["word " * 5000]
+    rows = [quality.features(text) for text in texts]
+    together = quality.raw_scores(model, rows)
+    alone = [quality.raw_scores(model, [row])[0] for row in rows]
+    assert together.tolist() == alone
+    assert alone == pytest.approx([quality.raw_score(model, *row)[0] for row in rows], rel=1e-4, abs=1e-5)
+    assert len(quality.raw_scores(model, [])) == 0
+
+
+def test_sample_does_not_depend_on_the_layout(spark, labels, model):
+    """Repeated doc_ids with other texts, in any order and partitioning, and a bound on features."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    more = docs.union(docs.selectExpr("doc_id", "concat(text, ' again') AS text")).union(docs)
+    one = quality.train(more, labels, 100, 20_000)
+    other = quality.train(more.repartition(7, "text"), labels, 100, 20_000)
+    assert np.array_equal(one.weights, other.weights) and one.bias == other.bias
+    assert not np.array_equal(one.weights, quality.train(more, labels, 100, 10_000).weights)
