@@ -141,7 +141,7 @@ def _confirm(rows: Iterable[tuple], percent: int) -> Iterator[tuple]:
         blocks: list[int] = []
         sets: list[np.ndarray] = []
         for *_, block, name, shingles in group:
-            if not names or names[-1] != name:  # a repeated doc_id repeats its row
+            if not names or names[-1] != name:  # several tasks may have met rows of one text
                 names.append(name)
                 blocks.append(block)
                 sets.append(np.frombuffer(shingles, np.uint64))
@@ -161,7 +161,9 @@ def _confirm(rows: Iterable[tuple], percent: int) -> Iterator[tuple]:
 def confirmed_edges(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
     """Edges between linked classes, whose components are those of all links.
 
-    ``members`` has class, cluster, doc_id (of one of its documents) and n_shingles. The
+    ``members`` has class, cluster, doc_id and text_hash (of one of its documents) and n_shingles.
+    A document is found again by both, so rows without or with one doc_id do not meet each other;
+    rows equal in both have one text, of which a task makes one set. The
     classes of a cluster are dealt to blocks of a bounded number of shingles, and each pair
     of blocks is a unit of work, so a cluster of any size spreads over tasks. Only edges
     that join what is linked leave a task, not all pairs.
@@ -171,19 +173,25 @@ def confirmed_edges(docs: DataFrame, members: DataFrame, size: int, percent: int
     blocks = members.groupBy("cluster").agg(
         F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     placed = members.join(blocks, "cluster").select(
-        F.col("doc_id").alias("member_id"), "class", "cluster", "blocks",
+        F.col("doc_id").alias("member_id"), F.col("text_hash").alias("member_hash"), "class", "cluster",
+        "blocks",
         F.pmod(F.xxhash64("class"), "blocks").cast("int").alias("block"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    chosen = texts.join(placed, F.col("doc_id").eqNullSafe(F.col("member_id"))).select(
-        "cluster", "block", "blocks", "class", "text")
+    texts = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    same = F.col("doc_id").eqNullSafe(F.col("member_id")) & (F.col("text_hash") == F.col("member_hash"))
+    chosen = texts.join(placed, same).select("cluster", "block", "blocks", "class", "text")
 
     def make_sets():
         hashes = WordHashes()
+        done: set[bytes] = set()
 
         def work(source):
             for cluster, block, blocks, name, text in source:
+                if name in done:
+                    continue
                 shingles = shingle_set(hashes.of(plain_words(text)), size)
                 if len(shingles) and class_of(shingles) == name:
+                    done.add(name)
                     yield cluster, block, blocks, name, shingles.tobytes()
         return work
 
@@ -205,10 +213,11 @@ def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """
     signed = stage(signatures(docs, size), "signatures")
     classes = stage(signed.where("n_shingles > 0").groupBy("class").agg(
-        F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"),
-        F.any_value("bands").alias("bands")), "classes")
+        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("member"),
+        F.min("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands")).select(
+            "class", "member.doc_id", "member.text_hash", "n_shingles", "bands"), "classes")
     members = coarse_groups(classes).join(
-        classes.select("class", "doc_id", "n_shingles"), "class")
+        classes.select("class", "doc_id", "text_hash", "n_shingles"), "class")
     roots = components(confirmed_edges(docs, members, size, percent))
     return signed.select("doc_id", "text_hash", "n_shingles", "class").join(
         roots.select(F.col("node").alias("class"), "root"), "class", "left").select(

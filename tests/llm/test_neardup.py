@@ -152,3 +152,44 @@ def test_components_of_a_path_and_a_star(spark):
     assert {row["node"]: row["root"] for row in rows} == (
         {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 140)})
     assert connect(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_rows_without_or_with_one_doc_id_do_not_meet(spark):
+    """As many texts go to confirmation as there are classes, whatever the doc_ids."""
+    texts = [" ".join(f"{'x' if i % 9 == k % 9 else 'w'}{k // 4}n{i}" for i in range(60)) for k in range(400)]
+    seen = {}
+    for name, key in (("own", lambda k: k), ("null", lambda k: None), ("one", lambda k: 7),
+                      ("some", lambda k: k % 3 or None)):
+        docs = spark.createDataFrame([(key(k), text) for k, text in enumerate(texts)] * 2,
+                                     "doc_id long, text string")
+        rows = neardup.grouped(docs, 4, 80).collect()
+        assert len(rows) == 800
+        roots = {}
+        for row in rows:
+            roots.setdefault(row["text_hash"], set()).add(bytes(row["root"]))
+        assert all(len(found) == 1 for found in roots.values())
+        seen[name] = {key: next(iter(found)) for key, found in roots.items()}
+        signed = neardup.signatures(docs, 4).where("n_shingles > 0")
+        members = signed.selectExpr("class", "doc_id", "text_hash", "n_shingles").dropDuplicates(
+            ["class"]).selectExpr("*", "class AS cluster")
+        edges = neardup.confirmed_edges(docs, members, 4, 80)
+        assert edges.count() == 0
+    assert seen["null"] == seen["own"] == seen["one"] == seen["some"]
+
+
+def test_many_rows_without_doc_id(spark):
+    """Rows without ids take about the time of rows with ids."""
+    import time
+
+    def seconds(key):
+        docs = spark.range(6000).selectExpr(
+            f"{key} AS doc_id",
+            "array_join(transform(sequence(0, 59), i -> concat('w', i, 'n', id div 2, "
+            "if(i = 7 AND id % 2 = 1, 'x', ''))), ' ') AS text")
+        start = time.time()
+        rows = neardup.near_duplicates(docs, 4, 80).collect()
+        assert len(rows) == 6000
+        return time.time() - start
+
+    seconds("id")
+    assert seconds("CAST(NULL AS BIGINT)") < 3 * seconds("id") + 5
