@@ -10,6 +10,7 @@ the next round, until a round finds nothing new.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -49,11 +50,32 @@ SUPPORT, DOCUMENTS, TRUST = 5, 5, 0.9
 SKETCH = 8
 #: Sums over arrays run in parts of this size, so that long arrays take linear time.
 PART = 256
+#: Characters of the blocks in which places of a text are looked up; more than REACH.
+BLOCK = 1024
 
 _SPAN = "struct<kind: int, start: int, end: int>"
 _KEY = ["doc_id", "text_hash"]
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used there, in loops too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def blocks_of(text: Column) -> Column:
+    """A text in blocks of BLOCK code points: a place is found in its block, not from the start."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def between(blocks: Column, start: Column, end: Column) -> Column:
+    """The text from ``start`` to ``end``, out of the blocks that hold it."""
+    first = F.floor(start / BLOCK).cast("int")
+    count = F.floor((end - 1) / BLOCK).cast("int") - first + 1
+    return F.when(end <= start, "").otherwise(F.substr(
+        F.array_join(F.slice(blocks, first + 1, F.greatest(count, F.lit(1))), ""),
+        (start - first * BLOCK + 1).cast("int"), (end - start).cast("int")))
+
+
 def _sums_before(values: Column) -> Column:
     """struct(total, before) of an array: its sum, and the sum before every element."""
     start = F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("before"))
@@ -64,12 +86,31 @@ def _sums_before(values: Column) -> Column:
 
 def sums_before(values: Column) -> Column:
     """The sum before every element of an array of any length."""
-    parts = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / PART).cast("int") - 1, F.lit(0))),
-        lambda part: _sums_before(F.slice(values, part * PART + 1, F.lit(PART))))
-    bases = _sums_before(F.transform(parts, lambda part: part["total"]))["before"]
-    return F.flatten(F.zip_with(
-        parts, bases, lambda part, base: F.transform(part["before"], lambda value: value + base)))
+    return once(F.transform(parts_of(values), _sums_before), lambda parts: F.flatten(F.zip_with(
+        parts, _sums_before(F.transform(parts, lambda part: part["total"]))["before"],
+        lambda part, base: F.transform(part["before"], lambda value: value + base))))
+
+
+def parts_of(values: Column) -> Column:
+    """An array in parts of PART elements; one empty part if it has none."""
+    return once(values, lambda array: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(array) / PART).cast("int") - 1, F.lit(0))),
+        lambda part: F.slice(array, part * PART + 1, F.lit(PART))))
+
+
+def counts_before(places: Column, queries: Column, inclusive: bool) -> Column:
+    """For every query, in order, how many places are smaller (or as large, if ``inclusive``).
+
+    Both are sorted into one array, over which places are counted: no query looks at all places.
+    """
+    # Of equal numbers the even one comes first.
+    mark = int(inclusive)
+    every = F.array_sort(F.concat(
+        F.transform(places, lambda place: place.cast("bigint") * 2 + (1 - mark)),
+        F.transform(queries, lambda query: query.cast("bigint") * 2 + mark)))
+    return once(every, lambda events: F.array_compact(F.zip_with(
+        events, sums_before(F.transform(events, lambda event: F.when(event % 2 == mark, 0).otherwise(1))),
+        lambda event, count: F.when(event % 2 == mark, count))))
 
 
 def located(df: DataFrame, pattern: str, hint: str, out: str) -> DataFrame:
@@ -79,9 +120,9 @@ def located(df: DataFrame, pattern: str, hint: str, out: str) -> DataFrame:
     found = df.select(
         "*", F.when(has, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none)
         .alias("_matches"))
-    between = F.when(F.size("_matches") > 0, F.split("text", pattern, -1)).otherwise(none)
+    gaps = F.when(F.size("_matches") > 0, F.split("text", pattern, -1)).otherwise(none)
     steps = found.select("*", F.zip_with(
-        F.slice(between, 1, F.size("_matches")), "_matches",
+        F.slice(gaps, 1, F.size("_matches")), "_matches",
         lambda gap, match: F.struct(F.length(gap).alias("gap"), F.length(match).alias("length"),
                                     match.alias("value"))).alias("_steps"))
     starts = steps.select("*", sums_before(F.transform(
@@ -105,8 +146,7 @@ def _holds(kind: str, value: Column) -> Column:
 
 def _context(start: Column) -> Column:
     """The last two words before a place, lower-cased; null without letters in them."""
-    before = F.substr(F.col("text"), F.greatest(start - REACH, F.lit(0)) + 1,
-                      F.least(start, F.lit(REACH)))
+    before = between(F.col("blocks"), F.greatest(start - REACH, F.lit(0)), start)
     words = F.regexp_extract(F.lower(before), r"(?:^|\s)(\S+\s+\S+)\s+$", 1)
     return F.when(words.rlike(r"\p{L}.*\s.*\p{L}"), F.regexp_replace(words, r"\s+", " "))
 
@@ -134,9 +174,18 @@ def base_spans(docs: DataFrame) -> DataFrame:
                            lambda match: member(F.lit(number), match))
 
     seeds = F.concat(*[members(number, kind.name) for number, kind in enumerate(KINDS)])
-    seeded = found.select(*_KEY, "text", "identifiers", seeds.alias("seeds"))
-    free = F.filter("identifiers", lambda word: ~F.exists("seeds", lambda seed: (
-        word["start"] < seed["end"]) & (seed["start"] < word["end"])))
+    any_match = F.lit(False)
+    for name in ("identifiers", *(kind.name for kind in KINDS)):
+        any_match = any_match | (F.size(name) > 0)
+    blocked = found.select("*", F.when(any_match, blocks_of(F.col("text"))).otherwise(
+        F.array().cast("array<string>")).alias("blocks"))
+    seeded = blocked.select(*_KEY, "blocks", "identifiers", seeds.alias("seeds"))
+    # A word meets as many seeds as start before its end, less those that end before its start.
+    begun = counts_before(F.col("seeds.start"), F.col("identifiers.end"), False)
+    over = counts_before(F.col("seeds.end"), F.col("identifiers.start"), True)
+    free = F.array_compact(F.zip_with(
+        "identifiers", F.zip_with(begun, over, lambda some, less: some == less),
+        lambda word, is_free: F.when(is_free, word)))
     return seeded.select(
         *_KEY, "seeds",
         F.transform(free, lambda word: member(F.lit(-1), word)).alias("candidates"))
@@ -236,21 +285,33 @@ def redact(docs: DataFrame) -> DataFrame:
         F.array_sort(F.transform("spans", lambda span: F.struct(
             span["start"].alias("start"), (-span["end"]).alias("back"),
             span["kind"].alias("kind")))).alias("_spans"))
-    empty = F.struct(F.lit(0).alias("end"), F.array().cast(
-        "array<struct<from: int, start: int, kind: int>>").alias("cuts"))
-    labels = F.array(*[F.lit(f"[{kind.name.upper()}]") for kind in KINDS])
-    kept = F.aggregate("_spans", empty, lambda state, span: F.when(
-        span["start"] >= state["end"], F.struct((-span["back"]).alias("end"), F.concat(
-            state["cuts"], F.array(F.struct(
+    cut = "array<struct<from: int, start: int, kind: int>>"
+
+    def keep(state: Column, span: Column) -> Column:
+        """A span that starts where the last one kept has ended is cut out."""
+        return F.when(span["start"] >= state["end"], F.struct(
+            (-span["back"]).alias("end"), F.concat(state["cuts"], F.array(F.struct(
                 state["end"].alias("from"), span["start"].alias("start"),
-                span["kind"].alias("kind")))).alias("cuts"))).otherwise(state))
-    pieces = F.transform("_kept.cuts", lambda cut: F.concat(
-        F.substr(F.col("text"), cut["from"] + 1, cut["start"] - cut["from"]),
-        F.get(labels, cut["kind"])))
-    rest = F.substr(F.col("text"), F.col("_kept.end") + 1, F.length("text"))
+                span["kind"].alias("kind")))).alias("cuts"))).otherwise(state)
+
+    def keep_part(state: Column, part: Column) -> Column:
+        done = F.aggregate(
+            part, F.struct(state["end"].alias("end"), F.array().cast(cut).alias("cuts")), keep)
+        return F.struct(done["end"].alias("end"),
+                        F.concat(state["cuts"], F.array(done["cuts"])).alias("cuts"))
+
+    labels = F.array(*[F.lit(f"[{kind.name.upper()}]") for kind in KINDS])
+    kept = F.aggregate(
+        parts_of(F.col("_spans")),
+        F.struct(F.lit(0).alias("end"), F.array().cast(f"array<{cut}>").alias("cuts")), keep_part,
+        lambda state: F.struct(state["end"].alias("end"), F.flatten(state["cuts"]).alias("cuts")))
+    pieces = F.transform("_kept.cuts", lambda one: F.concat(
+        between(F.col("_blocks"), one["from"], one["start"]), F.get(labels, one["kind"])))
+    rest = between(F.col("_blocks"), F.col("_kept.end"), F.length("text"))
     clean = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(
         F.concat(F.array_join(pieces, ""), rest))
     marked = spans.select("_span_id", "_span_hash", kept.alias("_kept"))
     joined = docs.join(marked, F.col("doc_id").eqNullSafe(F.col("_span_id")) & (
         F.xxhash64("text") == F.col("_span_hash")), "left")
-    return joined.withColumn("text", clean).select(*docs.columns)
+    blocked = joined.withColumn("_blocks", F.when(F.col("_kept").isNotNull(), blocks_of(F.col("text"))))
+    return blocked.withColumn("text", clean).select(*docs.columns)

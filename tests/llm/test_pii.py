@@ -2,7 +2,9 @@
 
 import hashlib
 import re
+import time
 
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -161,3 +163,43 @@ def test_no_python_in_the_plan(sf_docs):
     for df in (pii.personal_data(sf_docs), pii.redact(sf_docs)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "CartesianProduct"))
+
+
+def test_places_are_counted(spark):
+    import random
+    draw = random.Random(2)
+    places = [draw.randrange(200) for _ in range(700)]
+    queries = sorted(draw.randrange(200) for _ in range(600))
+    row = spark.range(1).select(*[pii.counts_before(
+        F.array(*map(F.lit, places)), F.array(*map(F.lit, queries)), inclusive).alias(str(inclusive))
+        for inclusive in (False, True)]).first()
+    assert row["False"] == [sum(p < q for p in places) for q in queries]
+    assert row["True"] == [sum(p <= q for p in places) for q in queries]
+
+
+def test_texts_by_blocks(spark):
+    text = "".join("aé😀\n日"[i % 5] for i in range(5000))
+    cuts = [(0, 0), (0, 1), (5, 1024), (1023, 1025), (1024, 2048), (3000, 5000), (4999, 5000), (7, 4100)]
+    df = spark.createDataFrame([(text, a, b) for a, b in cuts], "text string, a int, b int")
+    got = df.select("a", "b", pii.between(pii.blocks_of(F.col("text")), F.col("a"), F.col("b")).alias("part"))
+    for row in got.collect():
+        assert row["part"] == text[row["a"]:row["b"]]
+
+
+@pytest.mark.parametrize("make", [
+    lambda n: " ".join(f"10.{i % 200}.{i % 7}.{i % 251}" for i in range(n)),
+    lambda n: " ".join(f"mail of user{i} at x{i % 999}@host.org" for i in range(n)),
+    lambda n: " ".join(f"n{i % 10}" for i in range(2 * n))])
+def test_one_text_of_many_matches_takes_linear_time(spark, make):
+    """Spans and redaction of one text: twice the matches, about twice the time."""
+    def seconds(n):
+        docs = spark.createDataFrame([(1, make(n))], "doc_id long, text string")
+        start = time.time()
+        found = pii.personal_data(docs).first()
+        assert pii.redact(docs).first()["text"].count("[") == found["n_ip"] + found["n_email"]
+        return time.time() - start, found["n_ip"] + found["n_email"]
+
+    seconds(100)
+    (small, few), (large, many) = seconds(50_000), seconds(200_000)
+    assert many == 4 * few
+    assert large < 60 and large < 8 * small + 2
