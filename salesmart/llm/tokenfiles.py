@@ -28,7 +28,7 @@ from salesmart.llm.pretokens import WHOLE_TEXT, batches, pieces
 from salesmart.sources.staging import stage, work_folder
 
 #: Pieces whose ids each worker keeps; a full cache is renewed from the pieces in use.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 2_000_000
 #: Pieces that the library encodes at once.
 PART = 20_000
 
