@@ -28,15 +28,16 @@ _building = threading.Lock()
 _UNSTABLE = re.compile(r"access_time=\d+")
 
 
-def _state(spark: SparkSession, folder: str) -> str:
-    """Paths, sizes and times of a folder's tables and their files: another state is another build.
+def _state(spark: SparkSession, folder: str) -> tuple:
+    """Size and number of a folder's files, and path, size and time of each table in it.
 
-    One call lists them inside the JVM, however many files there are.
+    Another state is another build. The files are counted inside the JVM; a call through the gateway
+    is made per table, not per file.
     """
-    jvm = spark.sparkContext._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{{*,*/*}}")
-    system = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return _UNSTABLE.sub("", jvm.java.util.Arrays.toString(system.globStatus(pattern)))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    tables = sorted(_UNSTABLE.sub("", status.toString()) for status in system.listStatus(path))
+    return system.getContentSummary(path).toString(), *tables
 
 
 def build_once(spark: SparkSession, sf_dir: str, root: str) -> None:
