@@ -182,13 +182,13 @@ def test_many_rows_without_doc_id(spark):
     import time
 
     def seconds(key):
-        docs = spark.range(6000).selectExpr(
+        docs = spark.range(3000).selectExpr(
             f"{key} AS doc_id",
             "array_join(transform(sequence(0, 59), i -> concat('w', i, 'n', id div 2, "
             "if(i = 7 AND id % 2 = 1, 'x', ''))), ' ') AS text")
         start = time.time()
         rows = neardup.near_duplicates(docs, 4, 80).collect()
-        assert len(rows) == 6000
+        assert len(rows) == 3000
         return time.time() - start
 
     seconds("id")
