@@ -14,7 +14,7 @@ from salesmart.operators.keys import drop_orphans, number_rows, orphan_metrics
 from salesmart.plans.dimensions import (
     NO_SUPERVISOR, build_dim_customer, build_dim_date, build_dim_employee, build_dim_product,
     build_dim_shipper, order_date_sources)
-from salesmart.plans.facts import balanced_by_year, resolve_keys, with_amounts
+from salesmart.plans.facts import resolve_keys, with_amounts, with_order_year
 from salesmart.sources.schemas import DIMENSION_IDS, DIMENSIONS, FACT, FOREIGN_KEYS, RAW_SCHEMAS
 from salesmart.sources.sinks import AUDIT, AUDIT_SCHEMA, Load, Star, open_warehouse, row_counts
 from salesmart.sources.versions import manifest
@@ -90,6 +90,12 @@ def write_dimension(load: Load, name: str, rows: DataFrame) -> int:
     return written
 
 
+def fact_rows(raw: Mapping[str, DataFrame], dims: Mapping[str, DataFrame], audit: Observation) -> DataFrame:
+    """The lines whose keys all resolve, as the fact stores them; all lines are counted in ``audit``."""
+    resolved = with_order_year(resolve_keys(raw["orders"], raw["order_details"], dims))
+    return with_amounts(drop_orphans(resolved.observe(audit, *orphan_metrics(FOREIGN_KEYS)), FOREIGN_KEYS))
+
+
 def write_fact(load: Load, raw: Mapping[str, DataFrame]) -> dict[str, int]:
     """Write the lines whose keys all resolve; returns all lines, kept lines and lines lost per key.
 
@@ -98,9 +104,7 @@ def write_fact(load: Load, raw: Mapping[str, DataFrame]) -> dict[str, int]:
     """
     dims = {name: load.read(name) for name in DIMENSIONS}
     audit = Observation("fact lines")
-    resolved = balanced_by_year(resolve_keys(raw["orders"], raw["order_details"], dims))
-    observed = resolved.observe(audit, *orphan_metrics(FOREIGN_KEYS))
-    load.write(with_amounts(drop_orphans(observed, FOREIGN_KEYS)), FACT)
+    load.write(fact_rows(raw, dims, audit), FACT)
     counts = audit.get
     if counts["kept_rows"] == 0:
         orphans = {key: counts[key] for key in FOREIGN_KEYS}

@@ -59,7 +59,7 @@ class Load:
 
     def write(self, df: DataFrame, name: str) -> None:
         """Write rows of a table; the fact is partitioned by order year."""
-        writer = df.write
+        writer = df.write.option("compression", "zstd")
         if name == FACT:
             writer = writer.partitionBy("order_year")
         writer.parquet(versions.attempt_path(self.root, name, self.attempt))

@@ -4,9 +4,11 @@ import os
 import re
 
 import pytest
+from pyspark.sql import Observation
 
 from salesmart.operators.hierarchy import parent_name
 from salesmart.plans import dashboard, marts, report, retention, rfm
+from salesmart.plans.etl import fact_rows
 from salesmart.plans.facts import build_fact_sales
 from salesmart.sources import staging
 from salesmart.sources.schemas import RAW_SCHEMAS
@@ -130,3 +132,21 @@ def test_a_page_reads_the_fact_eight_times_and_leaves_nothing(spark, star, monke
     assert sum(stored) <= 8
     assert set(os.listdir(folder)) == before
     assert spark.read.parquet(f"{tmp_path}/rfm_customer_table").count() == 3
+
+
+def test_the_fact_is_written_from_its_last_join(spark, star):
+    """With every lookup but the product's small, lines are moved for products and for orders only."""
+    import fixtures
+    raw = fixtures.raw_tables(spark)
+    dims = star.tables()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("dim_customer", "dim_employee", "dim_shipper"):
+            dims[name] = dims[name].hint("broadcast")
+        text = plan(fact_rows(raw, dims, Observation()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = re.findall(r"Exchange (hash|range|roundrobin)partitioning\((\w+?)#", text, re.IGNORECASE)
+    assert sorted(by for _, by in moved) == ["orderid", "orderid", "productid", "productid"]
+    assert "REBALANCE" not in text
