@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from salesmart.functions import cleaning
 from salesmart.functions.money import cents_to_double, line_cents
@@ -17,6 +17,7 @@ from salesmart.plans.session_warehouse import session_warehouse, warehouse_root
 from salesmart.sources import sinks, testdata
 from salesmart.sources.schemas import FACT_COLUMNS, FOREIGN_KEYS, schema
 from salesmart.sources.sinks import Star
+from salesmart.sources.staging import stage, staged_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -135,15 +136,28 @@ def lines_with_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("orderid", "line", cents_to_double(cents).alias("total_sales"))
 
 
+def lines_by_load(orders: DataFrame, lines: DataFrame, parts: Mapping[str, Column]) -> dict[str, DataFrame]:
+    """The lines of each part of the orders, parts given as conditions on the orders.
+
+    Lines meet orders once for all parts and are stored: a load reads its lines several times. A
+    line whose order id stands in several parts is a line of each of them.
+    """
+    marks = orders.groupBy("orderid").agg(*[F.bool_or(part).alias(f"_{name}") for name, part in parts.items()])
+    marked = lines.join(marks.where(" or ".join(f"_{name}" for name in parts)), "orderid")
+    stored = stage(marked, "lines-by-load")
+    return {name: stored.where(f"_{name}").select(*lines.columns) for name in parts}
+
+
 def build_in_two_loads(spark: SparkSession, sf_dir: str, root: str) -> None:
     """Older orders first, then the others appended; the second load is run twice."""
     raw = testdata.raw_tables(spark, sf_dir)
     older = F.year("orderdate") < YEAR
-    for load_id, part, mode in (
-            ("older", older, "overwrite"), ("newer", ~older, "append"), ("newer", ~older, "append")):
-        orders = raw["orders"].where(part)
-        lines = raw["order_details"].join(orders.select("orderid"), "orderid", "left_semi")
-        run_etl(spark, raw | {"orders": orders, "order_details": lines}, root, mode, load_id)
+    parts = {"older": older, "newer": ~older}
+    with staged_tables(spark):
+        lines = lines_by_load(raw["orders"], raw["order_details"], parts)
+        for load_id, mode in (("older", "overwrite"), ("newer", "append"), ("newer", "append")):
+            part = {"orders": raw["orders"].where(parts[load_id]), "order_details": lines[load_id]}
+            run_etl(spark, raw | part, root, mode, load_id)
 
 
 def etl_append(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,12 +4,13 @@ import os
 import re
 
 import pytest
-from pyspark.sql import Observation
+from pyspark.sql import Observation, functions as F
 
 from salesmart.operators.hierarchy import parent_name
 from salesmart.plans import dashboard, marts, report, retention, rfm
 from salesmart.plans.etl import fact_rows
 from salesmart.plans.facts import build_fact_sales
+from salesmart.registry import lines_by_load
 from salesmart.sources import staging
 from salesmart.sources.schemas import RAW_SCHEMAS
 
@@ -150,3 +151,21 @@ def test_the_fact_is_written_from_its_last_join(spark, star):
     moved = re.findall(r"Exchange (hash|range|roundrobin)partitioning\((\w+?)#", text, re.IGNORECASE)
     assert sorted(by for _, by in moved) == ["orderid", "orderid", "productid", "productid"]
     assert "REBALANCE" not in text
+
+
+def test_lines_meet_orders_once_for_all_loads(spark):
+    """Rows as by a semi join to each part's orders, from a table stored once."""
+    orders = spark.createDataFrame(
+        [(1, 1995), (2, 1996), (3, 1995), (3, 1996), (4, None), (5, 1995), (5, None), (5, 1995), (None, 1996)],
+        "orderid long, year int")
+    lines = spark.createDataFrame(
+        [(1, 10), (1, 10), (2, 20), (3, 30), (4, 40), (5, 50), (6, 60), (None, 70)], "orderid long, productid long")
+    older = F.col("year") < 1996
+    parts = {"older": older, "newer": ~older}
+    got = lines_by_load(orders, lines, parts)
+    for name, part in parts.items():
+        want = lines.join(orders.where(part).select("orderid"), "orderid", "left_semi")
+        assert got[name].columns == want.columns
+        assert sorted(got[name].collect()) == sorted(want.collect()) != []
+        text = plan(got[name])
+        assert "Join" not in text and "Exchange" not in text and "FileScan parquet" in text
