@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from salesmart.sources.staging import stage
 
@@ -42,6 +42,29 @@ def number_rows(
     return numbered.drop(_SLOT, _POSITION, _BEFORE, _SIZE)
 
 
+def held_bytes(df: DataFrame) -> int:
+    """Bytes of all rows as Spark holds them: a word for the nulls and for each value, and the texts."""
+    held = F.lit(8 * (1 + len(df.columns)))
+    for field in df.schema.fields:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            held = held + F.coalesce(F.octet_length(field.name), F.lit(0))
+    return df.agg(F.sum(held.cast("bigint"))).first()[0] or 0
+
+
+def sized_side(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """A side of a join, broadcast if its rows as held fit the broadcast limit, else sorted and merged.
+
+    Spark takes the size of a table's files for that of its rows. Dense keys pack to a fiftieth, and
+    the driver, which builds a broadcast, would hold all of them; adaptive execution keeps such a
+    broadcast, as to merge takes one more shuffle. ``like`` is measured instead of a side that is
+    costly to compute. Without a limit Spark decides.
+    """
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    if limit <= 0:
+        return df
+    return df.hint("broadcast" if held_bytes(df if like is None else like) <= limit else "merge")
+
+
 def lookup_key(
     df: DataFrame, dimension: DataFrame, foreign_id: str, dim_id: str, key: str,
     carry: Sequence[str] = (),
@@ -50,12 +73,12 @@ def lookup_key(
 
     ``carry`` names attributes that come along with the key.
 
-    A NULL id never matches. Spark picks the join by the dimension's size and
+    A NULL id never matches. The join goes by the size of the dimension's rows, and Spark
     splits hot ids at run time.
     """
     pairs = dimension.filter(F.col(dim_id).isNotNull()).select(
         F.col(dim_id).alias(foreign_id), key, *carry)
-    return df.join(pairs, foreign_id, "left")
+    return df.join(sized_side(pairs), foreign_id, "left")
 
 
 def all_resolved(keys: Sequence[str]) -> Column:

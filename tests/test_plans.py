@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Observation, functions as F
 
 from salesmart.operators.hierarchy import parent_name
+from salesmart.operators.keys import held_bytes, lookup_key
 from salesmart.plans import dashboard, marts, report, retention, rfm
 from salesmart.plans.etl import fact_rows
 from salesmart.plans.facts import build_fact_sales
@@ -153,6 +154,39 @@ def test_the_fact_is_written_from_its_last_join(spark, star):
     assert "REBALANCE" not in text
 
 
+@pytest.fixture
+def small_broadcasts(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1MB")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def executed(df):
+    """The plan as it ran, all its stages done."""
+    df.collect()
+    return plan(df)
+
+
+def test_a_large_dimension_in_a_small_file_is_not_broadcast(spark, tmp_path, small_broadcasts):
+    """Dense keys pack: 4.8 MB of rows in a file below the limit of 1 MB."""
+    path = str(tmp_path / "dim")
+    spark.range(200_000).selectExpr("id AS source", "id + 1 AS dim_key", "'x' AS name").write.option(
+        "compression", "zstd").parquet(path)
+    dim = spark.read.parquet(path)
+    lines = spark.range(100).selectExpr("IF(id % 3 = 0, NULL, id * 2500) AS foreign_id")
+    few = dim.where("source < 100")
+    assert held_bytes(dim.select("source", "dim_key")) == 200_000 * 24 > 1 << 20
+    assert held_bytes(few) == 100 * (32 + 1)
+    for rows, join in ((dim, "SortMergeJoin"), (few, "BroadcastHashJoin")):
+        got = lookup_key(lines, rows, "foreign_id", "source", "dim_key")
+        text = executed(got)
+        assert join in text and (join == "BroadcastHashJoin") == ("BroadcastExchange" in text)
+        want = lines.join(rows.selectExpr("source AS foreign_id", "dim_key"), "foreign_id", "left")
+        assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+    assert lookup_key(lines, dim, "foreign_id", "source", "dim_key").where("dim_key IS NOT NULL").count() == 53
+
+
 def test_lines_meet_orders_once_for_all_loads(spark):
     """Rows as by a semi join to each part's orders, from a table stored once."""
     orders = spark.createDataFrame(
