@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from salesmart.operators.keys import number_rows
+from salesmart.operators.keys import number_rows, sized_side
 from salesmart.sources.staging import stage
 
 
@@ -67,7 +67,7 @@ def with_quintiles(df: DataFrame, measures: Sequence[str], tie: str) -> DataFram
 
     Measures are whole numbers; nulls come first. A value's ranks are a range known from the
     histogram, so only values in which a bucket ends are ordered by the tie. The rows are stored
-    once.
+    once, and meet the histogram by its size: Spark would broadcast them where their file is the smaller.
     """
     stored = stage(df, "measures")
     values = stored.select(tie, F.explode(F.array(*[
@@ -84,7 +84,7 @@ def with_quintiles(df: DataFrame, measures: Sequence[str], tie: str) -> DataFram
             F.col("value").alias("_value"), F.col("first").alias("_first"), F.col("ends").alias("_ends"))
         after = F.filter("_ends", lambda end: F.when(end["tie"].isNull(), F.col(tie).isNotNull()).otherwise(
             F.coalesce(F.col(tie) > end["tie"], F.lit(False))))
-        scored = scored.join(mine, F.col(measure).eqNullSafe(F.col("_value"))).withColumn(
+        scored = scored.join(sized_side(mine, buckets), F.col(measure).eqNullSafe(F.col("_value"))).withColumn(
             f"{measure}_quintile", (F.col("_first") + F.coalesce(F.size(after), F.lit(0))).cast("int")
         ).drop("_value", "_first", "_ends")
     return scored

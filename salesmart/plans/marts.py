@@ -6,6 +6,9 @@ task, the aggregate is already partitioned on the join key, and the fact lines
 themselves are never shuffled to meet a dimension. Results group by name, so
 distinct keys that share a name merge in the second step. An order has one
 customer, so order counts of different customers add up.
+
+Names are joined by sort and merge whatever their number: the totals lie on the join key
+already, and a broadcast would have the driver hold every name of the dimension.
 """
 
 from __future__ import annotations
@@ -54,6 +57,11 @@ def financial_trend(star: Star, year: int, categories: Sequence[str] | None = No
     )
 
 
+def _names(dimension: DataFrame, key: str, *attributes: str) -> DataFrame:
+    """Attributes by surrogate key, to be merged with totals by that key."""
+    return dimension.select(key, *attributes).hint("merge")
+
+
 def _customer_totals(
     star: Star, year: int, categories: Sequence[str] | None, attribute: str, *more: Column
 ) -> DataFrame:
@@ -61,7 +69,7 @@ def _customer_totals(
     totals = revenue_by(
         sales(star, [year], categories), ["customer_key"],
         F.countDistinct("order_id").alias("orders"), *more)
-    return totals.join(star.dim_customer.select("customer_key", attribute), "customer_key")
+    return totals.join(_names(star.dim_customer, "customer_key", attribute), "customer_key")
 
 
 def customer_clv(star: Star, year: int, categories: Sequence[str] | None = None) -> DataFrame:
@@ -101,9 +109,8 @@ def rfm_raw(star: Star, year: int, categories: Sequence[str] | None = None) -> D
 def _product_totals(star: Star, year: int, categories: Sequence[str] | None) -> DataFrame:
     totals = revenue_by(
         sales(star, [year], categories), ["product_key"], F.sum("quantity").alias("quantity"))
-    names = category_products(star, categories).select(
-        "product_key", "product_name", "category_name")
-    return totals.join(names, "product_key")
+    products = category_products(star, categories)
+    return totals.join(_names(products, "product_key", "product_name", "category_name"), "product_key")
 
 
 def product_revenue(star: Star, year: int, categories: Sequence[str] | None = None) -> DataFrame:
@@ -150,7 +157,7 @@ def customer_purchase_value(star: Star) -> DataFrame:
     """Revenue per customer name over all years."""
     totals = revenue_by(sales(star), ["customer_key"])
     return (
-        totals.join(star.dim_customer.select("customer_key", "company_name"), "customer_key")
+        totals.join(_names(star.dim_customer, "customer_key", "company_name"), "customer_key")
         .groupBy("company_name")
         .agg(_revenue().alias("total_purchase_value"))
         .orderBy(F.col("total_purchase_value").desc_nulls_first(), "company_name")
@@ -164,7 +171,7 @@ def quarterly_customer_orders(star: Star, rows: int = TOP_QUARTER_ROWS) -> DataF
         lines, ["year", "quarter", "customer_key"],
         F.countDistinct("order_id").alias("orders"))
     return (
-        totals.join(star.dim_customer.select("customer_key", "company_name"), "customer_key")
+        totals.join(_names(star.dim_customer, "customer_key", "company_name"), "customer_key")
         .groupBy("year", "quarter", "company_name")
         .agg(F.sum("orders").alias("order_count"), _revenue().alias("quarter_revenue"))
         .orderBy("year", "quarter", F.col("order_count").desc_nulls_first(), "company_name")

@@ -187,6 +187,24 @@ def test_a_large_dimension_in_a_small_file_is_not_broadcast(spark, tmp_path, sma
     assert lookup_key(lines, dim, "foreign_id", "source", "dim_key").where("dim_key IS NOT NULL").count() == 53
 
 
+@pytest.mark.parametrize("name", ["clv", "products", "geo", "categories", "rfm", "purchases", "quarterly"])
+def test_names_are_merged_with_totals(star, name):
+    """A packed dimension is small as a file only; its names are not held by the driver."""
+    text = plan(MARTS[name](star))
+    key = "product_key" if name in ("products", "categories") else "customer_key"
+    assert f"SortMergeJoin [{key}" in text
+    assert f"BroadcastHashJoin [{key}" not in text
+
+
+def test_customers_are_not_broadcast_to_their_scores(spark):
+    """The histogram goes to the customers, though Spark takes their file for the smaller side."""
+    raw = spark.range(20_000).selectExpr(
+        "concat('c', id) AS customer_name", "date_add(DATE'1996-01-01', CAST(id % 300 AS int)) AS last_order_date",
+        "id % 40 AS frequency", "CAST(id AS double) AS monetary")
+    text = executed(rfm.rfm_scores(raw, 1996)).split("Initial Plan")[0]
+    assert "BuildLeft" not in text and text.count("Inner, BuildRight") == 2
+
+
 def test_lines_meet_orders_once_for_all_loads(spark):
     """Rows as by a semi join to each part's orders, from a table stored once."""
     orders = spark.createDataFrame(
