@@ -54,7 +54,7 @@ def held_bytes(df: DataFrame) -> int:
 def sized_side(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
     """A side of a join, broadcast if its rows as held fit the broadcast limit, else sorted and merged.
 
-    Spark takes the size of a table's files for that of its rows. Dense keys pack to a fiftieth, and
+    Spark takes the size of a table's files for that of its rows. Dense keys pack to a sixtieth, and
     the driver, which builds a broadcast, would hold all of them; adaptive execution keeps such a
     broadcast, as to merge takes one more shuffle. ``like`` is measured instead of a side that is
     costly to compute. Without a limit Spark decides.
